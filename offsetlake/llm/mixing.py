@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offsetlake.llm.blocks import ALNUM_WORDS, SPACE_WORDS, Block, blocks
+from offsetlake.llm.blocks import ALNUM_WORDS, SPACE_WORDS, Block, blocks, windows
 from offsetlake.llm.rule_ensemble import labelled_sample, statistics
 from offsetlake.llm.scratch import fresh, materialise
 
@@ -22,21 +22,23 @@ DOMAINS = ("clean", "low", "toxic")
 @dataclass
 class DomainModel:
     words: np.ndarray  # sorted hashes of the telling words
+    tells: np.ndarray  # the domain that each tells
     centre: np.ndarray
     scale: np.ndarray
-    weights: np.ndarray  # (words + statistics + 1, domains)
+    weights: np.ndarray  # (domains + statistics + 1, domains)
 
     def features(self, plain: Block, spaced: Block) -> np.ndarray:
-        """Presence of the telling words, standardised statistics, 1."""
-        held = np.zeros((plain.documents, len(self.words)))
+        """For each domain the logarithm of 1 + how many different words that tell it occur, standardised statistics, 1."""
+        held = np.zeros((plain.documents, len(DOMAINS)))
         hashes = plain.hashes()
         if len(self.words) and len(hashes):
             at = np.searchsorted(self.words, hashes)
             at[at == len(self.words)] = 0
             hit = self.words[at] == hashes
-            held[plain.word_document()[hit], at[hit]] = 1
+            found = np.unique(np.stack((plain.word_document()[hit], at[hit])), axis=1)
+            np.add.at(held, (found[0], self.tells[found[1]]), 1)
         x = np.clip((statistics(spaced) - self.centre) / self.scale, -5, 5)
-        return np.concatenate((held, x, np.ones((len(x), 1))), axis=1)
+        return np.concatenate((np.log1p(held), x, np.ones((len(x), 1))), axis=1)
 
     def posteriors(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(token counts, posteriors) of whole texts; tokens are words without blanks."""
@@ -49,28 +51,33 @@ class DomainModel:
         return np.concatenate(tokens), np.concatenate(p)
 
 
-def train_domains(texts: list[bytes], target: np.ndarray, n_words: int = 64, steps: int = 400, seed: int = 9) -> DomainModel:
-    """Multinomial logistic regression on the words that tell the domains apart best (by chi-square of presence) and on text statistics."""
-    column = pa.array(texts, pa.large_binary())
-    spaced = list(blocks(column, SPACE_WORDS, False))
+def train_domains(texts: list[bytes], target: np.ndarray, least: int = 6, evidence: float = 45.0, steps: int = 400) -> DomainModel:
+    """Multinomial logistic regression on words that tell a domain (chi-square of presence, over texts that are no copies) and on text statistics."""
     if not len(texts):
-        return DomainModel(np.zeros(0, np.uint64), np.zeros(14), np.ones(14), np.zeros((15, len(DOMAINS))))
-    pairs = []
+        return DomainModel(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(14), np.ones(14), np.zeros((len(DOMAINS) + 15, len(DOMAINS))))
+    column = pa.array(texts, pa.large_binary())
+    pairs, marks = [], []
     for b in blocks(column, ALNUM_WORDS, True):
-        own = np.unique(np.stack((b.hashes(), b.word_document().astype(np.uint64) + np.uint64(b.rows.start))), axis=1)
-        pairs.append(own)
+        hashes = b.hashes()
+        each = [np.unique(hashes[b.first[d] : b.first[d + 1]]) for d in range(b.documents)]
+        pairs.append(np.stack((np.concatenate(each), np.repeat(np.arange(b.rows.start, b.rows.stop), [len(e) for e in each]).astype(np.uint64))))
+        at, grams = windows(hashes, b.first, 8)
+        cut = np.searchsorted(at, b.first)
+        marks += [int(grams[cut[d] : cut[d + 1]].min()) if cut[d + 1] > cut[d] else -1 - b.rows.start - d for d in range(b.documents)]
     own = np.concatenate(pairs, axis=1)
+    first = np.zeros(len(texts), bool)
+    first[np.unique(np.array(marks, object), return_index=True)[1]] = True  # near copies often share their smallest 8-word hash
+    own = own[:, first[own[1].astype(np.int64)]]
     words, number = np.unique(own[0], return_inverse=True)
     counts = np.zeros((len(words), len(DOMAINS)))
     np.add.at(counts, (number, target[own[1].astype(np.int64)]), 1)
-    sizes = np.bincount(target, minlength=len(DOMAINS))
-    share = counts.sum(1, keepdims=True) / len(target)
-    expected = share * sizes
-    chi = ((counts - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9)).max(1)
-    chi[counts.sum(1) < 5] = 0
-    best = np.sort(words[np.argsort(-chi, kind="stable")[:n_words]])
+    share = counts.sum(1, keepdims=True) / first.sum()
+    expected = share * np.bincount(target[first], minlength=len(DOMAINS))
+    chi = np.where(counts > expected, (counts - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9), 0)
+    best = np.flatnonzero((counts.sum(1) >= least) & (chi.max(1) >= evidence))
+    spaced = list(blocks(column, SPACE_WORDS, False))
     x = np.concatenate([statistics(b) for b in spaced])
-    model = DomainModel(best, x.mean(0), x.std(0) + 1e-6, np.zeros((len(best) + x.shape[1] + 1, len(DOMAINS))))
+    model = DomainModel(words[best], chi[best].argmax(1), x.mean(0), x.std(0) + 1e-6, np.zeros((len(DOMAINS) + x.shape[1] + 1, len(DOMAINS))))
     x = np.concatenate([model.features(a, b) for a, b in zip(blocks(column, ALNUM_WORDS, True), spaced, strict=True)])
     y = np.eye(len(DOMAINS))[target]
     rate = 1 / (0.5 * np.linalg.norm(x, 2) ** 2 / len(x) + 1e-4)
@@ -86,7 +93,7 @@ def train_domains(texts: list[bytes], target: np.ndarray, n_words: int = 64, ste
     return model
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_row_bytes: int = 32768, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic") -> DomainModel:
+def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_row_bytes: int = 32768, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic") -> DomainModel:
     """Learn from about max_rows labelled rows (twice that at most) with texts up to max_row_bytes, drawn by a hash of the id; held-out ids are not used."""
     narrow = docs.where(F.octet_length(text_col) <= max_row_bytes).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = labelled_sample(narrow, labels, [quality_col, toxic_col], max_rows, "doc_id")
