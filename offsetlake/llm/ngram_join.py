@@ -88,7 +88,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, fragm
     nodes = nodes.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "set_hash").alias("node"), F.col("n_shingles").alias("n"), "grams")
     exploded = nodes.select("id", "node", "n", F.explode("grams").alias("gram"))
     shared = exploded.join(exploded.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "gram")
-    ordered = shared.groupBy("id", "node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("order"), F.avg("df").alias("spread"))
+    ordered = shared.groupBy("id", "node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("order"), (F.sum("df") / F.col("n")).alias("spread"))
     ordered = materialise(ordered.where(F.lit(100) * F.size("order") >= F.lit(percent) * F.col("n")).withColumn("own", F.col("n") - F.size("order")), "ordered")
     n, own = F.col("n"), F.col("own")
     prefix = n - F.expr(f"(n * {percent} + 99) div 100") + 1
