@@ -142,7 +142,7 @@ def revoked_commits(spark, d):
 _OBS = "obs AS (SELECT topic, part, (off // 7) * 7 AS head, off // 3 AS tick, CAST(off * 2 AS BIGINT) AS t FROM log WHERE event_id % 5 <> 2)"
 
 
-@query("WITH " + LOG_SQL + ", " + _OBS + ", o AS (SELECT DISTINCT topic, part, head, tick, min(t) OVER (PARTITION BY topic, part, head, tick) AS t FROM obs), r AS (SELECT *, tick - row_number() OVER (PARTITION BY topic, part, head ORDER BY tick) run FROM o) SELECT topic, part, head, tick, t AS "at", t - min(t) OVER (PARTITION BY topic, part, head, run) AS age FROM r")
+@query("WITH " + LOG_SQL + ", " + _OBS + ", o AS (SELECT DISTINCT topic, part, head, tick, min(t) OVER (PARTITION BY topic, part, head, tick) AS t FROM obs), r AS (SELECT *, tick - row_number() OVER (PARTITION BY topic, part, head ORDER BY tick) run FROM o) SELECT topic, part, head, tick, t AS \"at\", t - min(t) OVER (PARTITION BY topic, part, head, run) AS age FROM r")
 def blocking_ages(spark, d):
     """Ages of gap heads over a series of observations."""
     log = message_log(spark, d).where("event_id % 5 <> 2")
