@@ -100,7 +100,7 @@ def warc_date(date: str) -> str:
 
 def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))])
-    return gzip.compress(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n", 1, mtime=0)
+    return gzip.compress(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
 
 def read_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
