@@ -13,6 +13,8 @@ from offsetlake.llm.components import components
 from offsetlake.llm.repeats import CountMin, chunked, sketch_replies
 from offsetlake.llm.scratch import corpus_bytes, materialise
 
+SALTS = 32
+
 
 def _sets(table: pa.Table, width: int) -> list[np.ndarray]:
     """For each row of a chunk, its sorted distinct n-grams."""
@@ -81,8 +83,11 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, fragm
     """
     sets = materialise(ngram_sets(docs, percent, width, id_col, text_col), "sets")
     held = sets.where("grams IS NOT NULL AND doc_id IS NOT NULL")
-    first = held.groupBy("set_hash").agg(F.min("doc_id").alias("id"))
-    members = materialise(held.select("doc_id", "set_hash").join(first, "set_hash").select("doc_id", "id").distinct(), "members")
+    first = held.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("k"))
+    # Copies meet their smallest id in SALTS parts, so that a group of a third of all rows is not one task's.
+    copied = first.where("k > 1").select("set_hash", "id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = held.select("doc_id", "set_hash", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    members = materialise(salted.join(copied, ["set_hash", "salt"]).where("doc_id <> id").select("doc_id", "id").distinct(), "members")
     nodes = held.join(first.select(F.col("id").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi").dropDuplicates(["doc_id", "set_hash"])
     # A node is a set: an id whose rows differ in text may stand for several sets, which that id then connects.
     nodes = nodes.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "set_hash").alias("node"), F.col("n_shingles").alias("n"), "grams")
