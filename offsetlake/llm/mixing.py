@@ -27,8 +27,8 @@ class DomainModel:
     scale: np.ndarray
     weights: np.ndarray  # (domains + statistics + 1, domains)
 
-    def features(self, plain: Block, spaced: Block) -> np.ndarray:
-        """For each domain the logarithm of 1 + how many different words that tell it occur, standardised statistics, 1."""
+    def features(self, plain: Block, measured: np.ndarray) -> np.ndarray:
+        """From a block and its statistics: for each domain the logarithm of 1 + how many different words that tell it occur, standardised statistics, 1."""
         held = np.zeros((plain.documents, len(DOMAINS)))
         hashes = plain.hashes()
         if len(self.words) and len(hashes):
@@ -37,48 +37,50 @@ class DomainModel:
             hit = self.words[at] == hashes
             found = np.unique(np.stack((plain.word_document()[hit], at[hit])), axis=1)
             np.add.at(held, (found[0], self.tells[found[1]]), 1)
-        x = np.clip((statistics(spaced) - self.centre) / self.scale, -5, 5)
+        x = np.clip((measured - self.centre) / self.scale, -5, 5)
         return np.concatenate((np.log1p(held), x, np.ones((len(x), 1))), axis=1)
 
     def posteriors(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(token counts, posteriors) of whole texts; tokens are words without blanks."""
         tokens, p = [np.zeros(0, np.int64)], [np.zeros((0, len(DOMAINS)))]
         for plain, spaced in zip(blocks(column, ALNUM_WORDS, True), blocks(column, SPACE_WORDS, False), strict=True):
-            z = self.features(plain, spaced) @ self.weights
+            z = self.features(plain, statistics(spaced)) @ self.weights
             z = np.exp(z - z.max(1, keepdims=True))
             p.append(z / z.sum(1, keepdims=True))
             tokens.append(np.diff(spaced.first))
         return np.concatenate(tokens), np.concatenate(p)
 
 
-def train_domains(texts: list[bytes], target: np.ndarray, least: int = 6, evidence: float = 45.0, steps: int = 400) -> DomainModel:
+def train_domains(texts: pa.Array | pa.ChunkedArray, target: np.ndarray, least: int = 6, evidence: float = 45.0, steps: int = 400) -> DomainModel:
     """Multinomial logistic regression on words that tell a domain (chi-square of presence, over texts that are no copies) and on text statistics."""
     if not len(texts):
         return DomainModel(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(14), np.ones(14), np.zeros((len(DOMAINS) + 15, len(DOMAINS))))
-    column = pa.array(texts, pa.large_binary())
-    pairs, marks = [], []
+    column = texts.cast(pa.large_binary())
+    held, owners, marks = [], [], []
     for b in blocks(column, ALNUM_WORDS, True):
         hashes = b.hashes()
         each = [np.unique(hashes[b.first[d] : b.first[d + 1]]) for d in range(b.documents)]
-        pairs.append(np.stack((np.concatenate(each), np.repeat(np.arange(b.rows.start, b.rows.stop), [len(e) for e in each]).astype(np.uint64))))
+        held.append(np.concatenate(each))
+        owners.append(np.repeat(np.arange(b.rows.start, b.rows.stop, dtype=np.int32), [len(e) for e in each]))
         at, grams = windows(hashes, b.first, 8)
         cut = np.searchsorted(at, b.first)
         marks += [int(grams[cut[d] : cut[d + 1]].min()) if cut[d + 1] > cut[d] else -1 - b.rows.start - d for d in range(b.documents)]
-    own = np.concatenate(pairs, axis=1)
     first = np.zeros(len(texts), bool)
     first[np.unique(np.array(marks, object), return_index=True)[1]] = True  # near copies often share their smallest 8-word hash
-    own = own[:, first[own[1].astype(np.int64)]]
-    words, number = np.unique(own[0], return_inverse=True)
+    owner = np.concatenate(owners)
+    kept = first[owner]
+    owner = owner[kept]
+    words, number = np.unique(np.concatenate(held)[kept], return_inverse=True)
     counts = np.zeros((len(words), len(DOMAINS)))
-    np.add.at(counts, (number, target[own[1].astype(np.int64)]), 1)
+    np.add.at(counts, (number, target[owner]), 1)
+    del held, owners, owner, kept, number
     share = counts.sum(1, keepdims=True) / first.sum()
     expected = share * np.bincount(target[first], minlength=len(DOMAINS))
     chi = np.where(counts > expected, (counts - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9), 0)
     best = np.flatnonzero((counts.sum(1) >= least) & (chi.max(1) >= evidence))
-    spaced = list(blocks(column, SPACE_WORDS, False))
-    x = np.concatenate([statistics(b) for b in spaced])
+    x = np.concatenate([statistics(b) for b in blocks(column, SPACE_WORDS, False)])
     model = DomainModel(words[best], chi[best].argmax(1), x.mean(0), x.std(0) + 1e-6, np.zeros((len(DOMAINS) + x.shape[1] + 1, len(DOMAINS))))
-    x = np.concatenate([model.features(a, b) for a, b in zip(blocks(column, ALNUM_WORDS, True), spaced, strict=True)])
+    x = np.concatenate([model.features(b, x[b.rows]) for b in blocks(column, ALNUM_WORDS, True)])
     y = np.eye(len(DOMAINS))[target]
     rate = 1 / (0.5 * np.linalg.norm(x, 2) ** 2 / len(x) + 1e-4)
     w, v, t = model.weights, model.weights, 1.0
@@ -98,8 +100,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_ro
     narrow = docs.where(F.octet_length(text_col) <= max_row_bytes).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = labelled_sample(narrow, labels, [quality_col, toxic_col], max_rows, "doc_id")
     domain = F.when(F.col(f"label_{toxic_col}") == 1, 2).when(F.col(f"label_{quality_col}") == 0, 1).otherwise(0)
-    rows = sample.select("doc_id", "text", domain.alias("domain")).orderBy("doc_id", "text", "domain").collect()
-    return train_domains([r["text"].encode() for r in rows], np.array([r["domain"] for r in rows], np.int64))
+    rows = sample.select("doc_id", "text", domain.alias("domain")).orderBy("doc_id", "text", "domain").toArrow()
+    return train_domains(rows["text"], rows["domain"].to_numpy().astype(np.int64))
 
 
 def domain_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> tuple[DataFrame, str, str]:
