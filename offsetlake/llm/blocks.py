@@ -6,6 +6,7 @@ its own). Words are found and hashed by array operations on the bytes, so no Pyt
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,10 +65,19 @@ def span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(len(starts), np.uint64)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
-    np.cumsum(values * _pow(_BASE, n), out=total[1:])
+    np.multiply(values, _pow(_BASE, n), out=total[1:])
+    np.cumsum(total[1:], out=total[1:])
     return mix((total[ends] - total[starts]) * _pow(_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on, beside the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 @dataclass
 class Block:
     """Words of consecutive documents: word i has bytes data[start[i]:end[i]]; document d has words first[d]:first[d + 1]."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offsetlake.llm.blocks import ALNUM_WORDS, Block, blocks
+from offsetlake.llm.blocks import ALNUM_WORDS, Block, blocks, release
 from offsetlake.llm.scratch import fresh, materialise
 
 SHARD_BYTES = 4 << 20
@@ -250,6 +250,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_c
                     made.append(pa.array(clean, pa.binary()).cast(pa.string()))
                 kept = batch.columns[:width_in]
                 yield pa.RecordBatch.from_arrays([*kept, *made], names=[f.name for f in schema.fields])
+                made = clean = spans = items = inside = found = block = own = keep = None
+                release()
 
         out = out.mapInArrow(scan, schema)
         pack = next(packs, None)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offsetlake.llm.blocks import SPACE_WORDS, blocks, span_sums, windows
+from offsetlake.llm.blocks import SPACE_WORDS, blocks, release, span_sums, windows
 from offsetlake.llm.components import components
 from offsetlake.llm.repeats import CountMin, chunked, sketch_replies
 from offsetlake.llm.scratch import corpus_bytes, materialise
@@ -51,7 +51,10 @@ def ngram_sets(docs: DataFrame, percent: int = 90, width: int = 3, id_col: str =
         shared = sketch.repeated(grams, reply["slice"].to_pylist(), reply["blob"].to_pylist())
         held = np.add.reduceat(np.append(shared, False).astype(np.int64), np.cumsum(sizes) - sizes) * (sizes > 0) if len(sets) else sizes
         wanted = (sizes > 0) & (100 * held >= percent * sizes)
-        return pa.table({"doc_id": table["doc_id"].combine_chunks(), "n_shingles": sizes, "set_hash": [xxhash.xxh3_128_digest(s.tobytes()) if w else None for s, w in zip(sets, wanted, strict=True)], "grams": pa.array([s.view(np.int64) if w else None for s, w in zip(sets, wanted, strict=True)], pa.list_(pa.int64()))}, schema=schema)
+        out = pa.table({"doc_id": table["doc_id"].combine_chunks(), "n_shingles": sizes, "set_hash": [xxhash.xxh3_128_digest(s.tobytes()) if w else None for s, w in zip(sets, wanted, strict=True)], "grams": pa.array([s.view(np.int64) if w else None for s, w in zip(sets, wanted, strict=True)], pa.list_(pa.int64()))}, schema=schema)
+        del sets, grams, shared
+        release()
+        return out
 
     replies = sketch_replies(chunks, sketch, keys)
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(select, "doc_id long, n_shingles long, set_hash binary, grams array<long>")

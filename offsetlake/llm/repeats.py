@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offsetlake.llm.blocks import mix
+from offsetlake.llm.blocks import mix, release
 
 CHUNK_BYTES = 8 << 20
 _U = np.uint64
@@ -129,6 +129,7 @@ def sketch_replies(chunks: DataFrame, sketch: CountMin, keys: Callable[[pa.Table
 
     def part(table: pa.Table) -> pa.Table:
         rows = sketch.slices(keys(table))
+        release()
         return pa.table({"slice": [s for s, _ in rows], "chunk": [table["chunk"][0].as_py()] * len(rows), "blob": [b for _, b in rows]}, schema=pa.schema([("slice", pa.int64()), ("chunk", pa.int64()), ("blob", pa.binary())]))
 
     parts = chunks.groupBy("chunk").applyInArrow(part, "slice long, chunk long, blob binary")
