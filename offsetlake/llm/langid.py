@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offsetlake.llm.blocks import blocks
+from offsetlake.llm.fitting import fit_in_task
 from offsetlake.llm.scratch import fresh
 
 BUCKET_BITS = 16
@@ -133,7 +134,7 @@ def fit_languages(docs: DataFrame, max_rows: int = 3000, max_row_bytes: int = 16
     """Learn from a bounded sample of labelled rows: about max_rows, equally many of each language, texts up to max_row_bytes.
 
     The sample is taken by a hash of the id, so it is the same whatever the partitions. Rows with a null id, text or lang, and held-out rows
-    (see held_out), are not used. More than max_languages labels raise an error.
+    (see held_out), are not used. More than max_languages labels raise an error. One task fits.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     counts = usable.groupBy(F.col(lang_col).cast("string").alias("lang")).count().limit(max_languages + 1).collect()
@@ -146,8 +147,12 @@ def fit_languages(docs: DataFrame, max_rows: int = 3000, max_row_bytes: int = 16
         share = F.when(F.col(lang_col).cast("string") == r["lang"], F.lit(max_rows / len(counts) / r["count"])).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 40))
     chosen = usable.where((draw < share * float(1 << 40)) & (F.octet_length(text_col) <= max_row_bytes))
-    rows = chosen.select(draw.alias("draw"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).orderBy("draw", "text", "lang").limit(2 * max_rows).collect()
-    return train([r["text"].encode() for r in rows], [r["lang"] for r in rows])
+    rows = chosen.select(draw.alias("draw"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+
+    def fit(table: pa.Table) -> LanguageModel:
+        return train([t.encode() for t in table["text"].to_pylist()], table["lang"].to_pylist())
+
+    return fit_in_task(rows.orderBy("draw", "text", "lang").limit(2 * max_rows), ["draw", "text", "lang"], fit) or train([], [])
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

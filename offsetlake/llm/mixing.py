@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offsetlake.llm.blocks import ALNUM_WORDS, SPACE_WORDS, Block, blocks, windows
+from offsetlake.llm.fitting import fit_in_task
 from offsetlake.llm.rule_ensemble import labelled_sample, statistics
 from offsetlake.llm.scratch import fresh, materialise
 
@@ -96,12 +97,16 @@ def train_domains(texts: pa.Array | pa.ChunkedArray, target: np.ndarray, least:
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_row_bytes: int = 32768, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic") -> DomainModel:
-    """Learn from about max_rows labelled rows (twice that at most) with texts up to max_row_bytes, drawn by a hash of the id; held-out ids are not used."""
+    """Learn from about max_rows labelled rows (twice that at most) with texts up to max_row_bytes, drawn by a hash of the id; held-out ids are not used. One task fits."""
     narrow = docs.where(F.octet_length(text_col) <= max_row_bytes).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = labelled_sample(narrow, labels, [quality_col, toxic_col], max_rows, "doc_id")
     domain = F.when(F.col(f"label_{toxic_col}") == 1, 2).when(F.col(f"label_{quality_col}") == 0, 1).otherwise(0)
-    rows = sample.select("doc_id", "text", domain.alias("domain")).orderBy("doc_id", "text", "domain").toArrow()
-    return train_domains(rows["text"], rows["domain"].to_numpy().astype(np.int64))
+    rows = sample.select("doc_id", "text", domain.alias("domain"))
+
+    def fit(table: pa.Table) -> DomainModel:
+        return train_domains(table["text"], table["domain"].to_numpy().astype(np.int64))
+
+    return fit_in_task(rows, ["doc_id", "text", "domain"], fit) or train_domains(pa.array([], pa.string()), np.zeros(0, np.int64))
 
 
 def domain_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> tuple[DataFrame, str, str]:
