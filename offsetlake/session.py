@@ -12,6 +12,9 @@ from pyspark.sql import SparkSession
 
 _shipped: weakref.WeakSet = weakref.WeakSet()
 
+#: Bytes of the Arrow batches sent to Python workers, where the session names no other size: rows with long texts would make large batches.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
 
 def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session on this machine, with UTC as time zone."""
@@ -22,8 +25,10 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once for each context, so that functions in it can be unpickled there."""
+    """Send this package to the executors, once for each context, so that functions in it can be unpickled there; and bound Arrow batches."""
     context = spark.sparkContext
+    if not spark.conf.get(BATCH[0], None):
+        spark.conf.set(*BATCH)
     if context in _shipped:
         return spark
     top = Path(__file__).resolve().parent
