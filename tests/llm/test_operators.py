@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from offsetlake.llm import arc_to_warc as A
 from offsetlake.llm.components import components
+from offsetlake.llm.fitting import fit_in_task
 from offsetlake.llm.fm_decontam import FMIndex, decontaminate, suffix_array
 from offsetlake.llm.langid import fit_languages, held_out, identify
 from offsetlake.llm.line_quality import line_quality, without_frequent_lines
@@ -220,6 +221,13 @@ def test_arc_versions(version):
         list(A.read_arc(content[:-12]))
 
 
+def test_fit_in_task(spark):
+    rows = spark.createDataFrame([(k % 7, f"t{k}") for k in range(50)], "k int, t string").repartition(6)
+    fitted = fit_in_task(rows, ["k", "t"], lambda table: (table["k"].to_pylist(), table["t"].to_pylist()))
+    assert list(zip(*fitted, strict=True)) == sorted((k % 7, f"t{k}") for k in range(50))
+    assert fit_in_task(rows.where("k > 9"), ["k"], len) is None
+
+
 def test_language_id(spark, docs, empty):
     rng = random.Random(6)
     kinds = {"xx": ["kra", "ska", "tro", "ik"], "yy": ["lou", "mie", "eau", "oi"]}
