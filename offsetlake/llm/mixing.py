@@ -193,9 +193,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: f
     """
     model = model or fit_domains(docs, labels, id_col=id_col, text_col=text_col)
     scored, tokens, posteriors = domain_posteriors(docs, model, text_col)
+    scored = materialise(scored, "scored")  # so that no text is scored twice; the steps read its two narrow columns
     key = fresh("draw", scored.columns)
-    narrow = materialise(scored.select(tokens, posteriors), "posteriors")
-    rates = fit_rates(narrow, weights, tokens, posteriors, budget)
+    rates = fit_rates(scored, weights, tokens, posteriors, budget)
     rate, copies = fresh("rate", docs.columns), fresh("copies", docs.columns)
     draw = F.pmod(F.xxhash64(F.lit(23), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
     whole = F.round(F.col(rate))
