@@ -28,9 +28,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the n-gram join, the document with the smallest id stays (one row of it); rows without id stay."""
+    """Of each component of links with 5-word Jaccard of 0.8 or more, the document with the smallest id stays (one row of it); rows without id stay."""
     ship(spark)
-    gone = materialise(jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    gone = materialise(jaccard_components(docs, percent=80, width=5).where("component_id <> doc_id").select("doc_id").distinct(), "copies")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -1,3 +1,6 @@
+import random
+import re
+
 import corpus_pipeline
 
 
@@ -13,3 +16,44 @@ def test_pipeline_stages(spark):
         before = now
     out = corpus_pipeline.sharding(spark, docs, folder).collect()
     assert len(out) == before and {r.shard for r in out} <= set(range(corpus_pipeline.SHARDS))
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def kept_by_brute_force(rows, width=5, percent=80):
+    """The ids that stay: the smallest of each component of links."""
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    parent = {i: i for i, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in sets:
+        for j, b in sets:
+            if i < j and len(a & b) * 100 >= percent * len(a | b) and a:
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    return {find(i) for i in parent}
+
+
+def test_ngram_join_stage_uses_five_words_and_four_fifths(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(12):
+        text = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        edited = list(text)
+        edited[30] = edited[70] = "edited"
+        rows += [(10 * k, text), (10 * k + 1, text + [f"x{rng.randrange(5000)}" for _ in range(6 + 2 * k)]), (10 * k + 2, edited)]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS)
+    got = [r.doc_id for r in corpus_pipeline.ngram_join(spark, docs, "").collect()]
+    assert set(got) == kept_by_brute_force(rows) and len(got) == len(set(got))
+    assert len(got) < 36 - 12 and set(got) != kept_by_brute_force(rows, 3, 90)
