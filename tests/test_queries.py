@@ -1,5 +1,9 @@
+import duckdb
+
 import __spark_entry__ as entry
 
+FOLDER = "/root/testdata/sf0.001"
+
 
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
@@ -7,3 +11,24 @@ def test_names():
 
 def test_flagship(spark):
     assert entry.entry(spark).count() == 8
+
+
+def whole(name, *cuts):
+    """Sorted rows of a query's SQL without the given cuts."""
+    sql = entry.oracle_sql()[name]
+    for cut, instead in cuts:
+        assert cut in sql
+        sql = sql.replace(cut, instead)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{FOLDER}/events.parquet'")
+        return sorted(db.execute(sql).fetchall())
+
+
+def rows(spark, name):
+    return sorted(tuple(r) for r in entry.queries()[name](spark, FOLDER).collect())
+
+
+def test_cpu_worker_chain_reads_the_whole_log(spark):
+    want = whole("cpu_worker_chain", (" WHERE part = 1 AND off < 200", ""), ("SELECT off, lower", "SELECT topic, part, off, lower"))
+    assert rows(spark, "cpu_worker_chain") == want
+    assert len(want) == spark.read.parquet(f"{FOLDER}/events.parquet").count()
