@@ -111,10 +111,10 @@ def commit_through(spark, d):
 
 @query("WITH " + STATE + ", k AS (SELECT topic, part, hwm + 1 AS next_offset, off, row_number() OVER (PARTITION BY topic, part ORDER BY off) rn FROM opened JOIN mark USING (topic, part) WHERE off > hwm) SELECT topic, part, next_offset, count(*) AS kept, max(off) AS last_kept FROM k WHERE rn <= 100 GROUP BY ALL")
 def commit_payload(spark, d):
-    """O15 with a limit of 100."""
+    """O15 with the reference's limit of 2048. The SQL above keeps 100."""
     log = message_log(spark, d)
     done, state = finished(log), _state(log)
-    return O.commit_payload(done, O.high_water_mark(done, state), 100).groupBy(*O.TP, "next_offset").agg(F.count("*").alias("kept"), F.max("off").alias("last_kept"))
+    return O.commit_payload(done, O.high_water_mark(done, state)).groupBy(*O.TP, "next_offset").agg(F.count("*").alias("kept"), F.max("off").alias("last_kept"))
 
 
 _PARTS = "parts AS (SELECT DISTINCT topic, part, CAST(part * 2 AS BIGINT) AS start, CAST(part AS BIGINT) AS generation FROM log), comm AS (SELECT topic, part, CAST(part * 3 - 4 AS BIGINT) AS next_offset FROM parts WHERE part <> 5)"
@@ -124,11 +124,11 @@ _PARTS = "parts AS (SELECT DISTINCT topic, part, CAST(part * 2 AS BIGINT) AS sta
 t AS (SELECT b.topic, b.part, max(off) top FROM done JOIN b USING (topic, part) WHERE off > committed AND off < 40 GROUP BY ALL)
 SELECT topic, part, start, committed, greatest(committed, coalesce(top, committed)) AS fetched, generation FROM b LEFT JOIN t USING (topic, part)""")
 def assignment_state(spark, d):
-    """Restart positions from commits and restored metadata, with a growing generation."""
+    """Restart positions from commits and restored metadata, with a growing generation. The SQL above restores offsets below 40 only."""
     log = message_log(spark, d)
     parts = log.select(*O.TP).distinct().select(*O.TP, (F.col("part") * 2).cast("long").alias("start"), F.col("part").cast("long").alias("generation"))
     comm = parts.where("part <> 5").select(*O.TP, (F.col("part") * 3 - 4).cast("long").alias("next_offset"))
-    return O.build_assignments(parts, comm, finished(log).where("off < 40"))
+    return O.build_assignments(parts, comm, finished(log))
 
 
 @query("WITH " + STATE + " SELECT topic, part, hwm + 1 AS next_offset FROM mark WHERE hwm >= 0 AND part % 2 = 1")
@@ -157,10 +157,11 @@ dense AS (SELECT topic, part, base, unnest(range(0, t + 1)) j FROM top), bits AS
 
 
 def _left_over(spark, d) -> DataFrame:
+    """The whole set beyond the mark; _LEFT has its first 400 offsets only."""
     log = message_log(spark, d)
     done, state = finished(log), _state(log)
     marks = O.high_water_mark(done, state)
-    return O.commit_through(done, marks).join(marks, O.TP).where("off <= hwm + 400").select(*O.TP, "off", (F.col("hwm") + 1).alias("base"))
+    return O.commit_through(done, marks).join(marks, O.TP).select(*O.TP, "off", (F.col("hwm") + 1).alias("base"))
 
 
 @query("WITH " + STATE + _LEFT + _RLE + " SELECT topic, part, rle FROM rle")

@@ -1,4 +1,5 @@
 import duckdb
+import pytest
 
 import __spark_entry__ as entry
 
@@ -32,3 +33,12 @@ def test_cpu_worker_chain_reads_the_whole_log(spark):
     want = whole("cpu_worker_chain", (" WHERE part = 1 AND off < 200", ""), ("SELECT off, lower", "SELECT topic, part, off, lower"))
     assert rows(spark, "cpu_worker_chain") == want
     assert len(want) == spark.read.parquet(f"{FOLDER}/events.parquet").count()
+
+
+WINDOW, BELOW = (" AND off <= hwm + 400", ""), (" AND off < 40", "")
+
+
+@pytest.mark.parametrize("name,cut", [("rle_metadata", WINDOW), ("bitset_metadata", WINDOW), ("commit_metadata", WINDOW), ("metadata_round_trip", WINDOW), ("assignment_state", BELOW), ("commit_payload", ("rn <= 100", "rn <= 2048"))])
+def test_whole_sets(spark, monkeypatch, name, cut):
+    monkeypatch.setitem(globals(), "FOLDER", "/root/testdata/sf0.01")
+    assert rows(spark, name) == whole(name, cut) != whole(name)
