@@ -30,8 +30,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of links with 5-word Jaccard of 0.8 or more, the document with the smallest id stays (one row of it); rows without id stay."""
     ship(spark)
-    gone = materialise(jaccard_components(docs, percent=80, width=5).where("component_id <> doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = jaccard_components(docs, percent=80, width=5).where("doc_id IS NOT NULL")
+    found = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
+    marked = materialise(found.where("component_id <> doc_id OR rows > 1").select("doc_id", (F.col("component_id") != F.col("doc_id")).alias("gone")), "copies")
+    once, several = docs.join(marked, "doc_id", "left_anti").select(*docs.columns), marked.where("NOT gone")
+    if several.isEmpty():
+        return once
+    # Of the rows of one id, the one with the smallest hash (then the smallest columns) stays; only these rows are dealt out.
+    least = docs.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64(*docs.columns).alias("hash"), *docs.columns)).alias("least"))
+    return once.unionByName(least.select(*[F.col(f"least.{c}").alias(c) for c in docs.columns]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,12 @@ def test_ngram_join_stage_uses_five_words_and_four_fifths(spark):
     got = [r.doc_id for r in corpus_pipeline.ngram_join(spark, docs, "").collect()]
     assert set(got) == kept_by_brute_force(rows) and len(got) == len(set(got))
     assert len(got) < 36 - 12 and set(got) != kept_by_brute_force(rows, 3, 90)
+
+
+def test_ngram_join_stage_keeps_one_row_of_each_id(spark):
+    texts = [" ".join(f"w{(k * 131 + j * j) % 997}" for j in range(60)) for k in range(3)]
+    rows = [(3, texts[0]), (3, texts[0]), (3, texts[1]), (5, texts[0]), (5, texts[0]), (8, texts[2]), (9, texts[2]), (None, texts[2]), (None, texts[2]), (11, None), (11, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], DOCS)
+    first, again = [sorted(map(tuple, corpus_pipeline.ngram_join(spark, d, "").collect()), key=str) for d in (docs, docs.orderBy("text").repartition(5))]
+    assert sorted(r[0] for r in first if r[0] is not None) == [3, 8, 11] and sum(r[0] is None for r in first) == 2
+    assert first == again
