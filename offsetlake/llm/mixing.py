@@ -1,8 +1,9 @@
-"""Soft-membership mixing: predicted domain posteriors, and nonnegative document rates by distributed projected gradient."""
+"""Soft-membership mixing: predicted domain posteriors, and nonnegative document rates by least squares in the domain totals."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,8 @@ from offsetlake.llm.fitting import fit_in_task
 from offsetlake.llm.rule_ensemble import labelled_sample, statistics
 from offsetlake.llm.scratch import fresh, materialise
 
+log = logging.getLogger(__name__)
+
 #: The domains that the labelled table defines: toxic where toxic = 1, else low where quality = 0, else clean.
 DOMAINS = ("clean", "low", "toxic")
 
@@ -126,76 +129,99 @@ def domain_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text
 
 @dataclass
 class Rates:
-    """The steps taken: rate = fold of max(0, rate - posteriors . step), from 1."""
+    """rate = max(0, 1 + posteriors . slopes); totals are the domains' expected tokens at these rates, targets what they should be."""
 
-    steps: list[list[float]]
+    slopes: list[float]
     totals: list[float]
     targets: list[float]
 
     def column(self, posteriors: str):
-        rate = F.lit(1.0)
-        if not self.steps:
-            return rate
         p = F.col(posteriors)
-        steps = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in self.steps])
-
-        def step(r, s):
-            dot = sum((p[k] * s[k] for k in range(1, len(DOMAINS))), p[0] * s[0])
-            return F.greatest(F.lit(0.0), r - dot)
+        return F.greatest(F.lit(0.0), sum((p[k] * float(s) for k, s in enumerate(self.slopes)), F.lit(1.0)))
 
-        return F.aggregate(steps, F.lit(1.0), step)
+    def gap(self) -> float:
+        """The sum over domains of |total - target|, as a part of all targets."""
+        return float(np.abs(np.subtract(self.totals, self.targets)).sum() / max(sum(self.targets), 1e-300))
 
 
-def fit_rates(scored: DataFrame, weights: dict[str, float], tokens_col: str, posteriors_col: str, budget: float | None = None, max_steps: int = 24, tolerance: float = 5e-3) -> Rates:
+def fit_rates(scored: DataFrame, weights: dict[str, float], tokens_col: str, posteriors_col: str, budget: float | None = None, tolerance: float = 5e-3, least: float = 1e-6) -> Rates:
     """Nonnegative rates, one a document, whose expected domain token totals match weights * budget in least squares.
 
     budget is a number of tokens; None asks for the expected tokens of the domains with a positive weight, in the mixture's proportion that needs no
-    domain above its own total. Minimises the sum over domains of (total - target)^2 / expected tokens by projected gradient from rate 1 in
-    the metric of token counts, where steps of length 1 are safe. Each step sums up one row of domain totals over the distributed table; only those
-    reach the driver, and a document's rate follows from its posteriors and the list of steps.
+    domain above its own total. Minimises the sum over domains of (total - target)^2 / expected tokens, plus eps times the token-weighted
+    sum of (rate - 1)^2, by Newton steps on the dual, which has one unknown a domain. eps falls by tens until the totals are within `tolerance`
+    of the targets, or to `least`: a projected gradient step in the metric of token counts then changes no rate by more than eps * |rate - 1|, so
+    the least-squares sum is stationary. Targets that no rates reach are logged; totals and targets are in the result. Each pass sums up one
+    row of domain totals over the distributed table; only those reach the driver.
     """
     k = len(DOMAINS)
-    n, p = F.col(tokens_col), F.col(posteriors_col)
-
-    def totals(rates: Rates) -> np.ndarray:
-        r = rates.column(posteriors_col)
-        row = scored.select((n * r).alias("w"), p.alias("p")).agg(*[F.coalesce(F.sum(F.col("w") * F.col("p")[j]), F.lit(0.0)).alias(f"t{j}") for j in range(k)]).first()
-        return np.array([row[f"t{j}"] for j in range(k)])
-
-    rates = Rates([], [], [])
-    have = totals(rates)
+    n, p = F.col(tokens_col).cast("double"), F.col(posteriors_col)
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    narrow = scored.select(n.alias("n"), p.alias("p"))
+
+    def sums(slopes: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Domain totals, their derivative by the slopes, and the token-weighted sum of rate^2."""
+        r = Rates(slopes.tolist(), [], []).column("p")
+        rows = narrow.select("n", "p", r.alias("r")).withColumn("live", F.when(F.col("r") > 0, F.col("n")).otherwise(0.0))
+        parts = [F.sum(F.col("n") * F.col("r") * F.col("p")[j]) for j in range(k)] + [F.sum(F.col("live") * F.col("p")[i] * F.col("p")[j]) for i, j in upper] + [F.sum(F.col("n") * F.col("r") * F.col("r"))]
+        got = np.array([float(v or 0.0) for v in rows.agg(*[x.alias(f"s{i}") for i, x in enumerate(parts)]).first()])
+        slope = np.zeros((k, k))
+        for (i, j), v in zip(upper, got[k:-1], strict=True):
+            slope[i, j] = slope[j, i] = v
+        return got[:k], slope, got[-1]
+
+    slopes = np.zeros(k)
+    have, slope, square = sums(slopes)
     share = np.array([max(0.0, weights.get(d, 0.0)) for d in DOMAINS])
     if share.sum() <= 0 or have.sum() <= 0:
-        return rates
+        return Rates(slopes.tolist(), have.tolist(), have.tolist())
     share /= share.sum()
     if budget is None:
         budget = min(have[j] / share[j] for j in range(k) if share[j] > 0)
     target = share * budget
     now, floor = have, np.maximum(have, 1e-9 * have.sum())
-    for _ in range(max_steps):
-        gap = now - target
-        if np.abs(gap).sum() <= tolerance * target.sum():
-            break
-        rates.steps.append((gap / floor).tolist())
-        now = totals(rates)
-    rates.totals, rates.targets = now.tolist(), target.tolist()
+    root, enough, eps = np.sqrt(floor), tolerance * target.sum(), 1.0
+    while np.abs(now - target).sum() > enough and eps > least:
+        eps = max(least, eps / 10)
+
+        def dual(at: np.ndarray, square: float, eps: float = eps) -> float:
+            return float(at @ target - square / 2 - eps / 2 * (floor * at) @ at)
+
+        while np.abs(up := target - now - eps * floor * slopes).sum() > 0.1 * enough:
+            step = np.linalg.solve(slope / np.outer(root, root) + eps * np.eye(k), up / root) / root
+            value, length = dual(slopes, square), 1.0
+            while length > 1e-9:
+                tried = sums(slopes + length * step)
+                if dual(slopes + length * step, tried[2]) >= value + 1e-4 * length * float(up @ step) - 1e-12 * abs(value):
+                    break
+                length /= 2
+            else:
+                raise ArithmeticError(f"no ascent in the dual at eps {eps}: totals {now.tolist()}, targets {target.tolist()}")
+            slopes = slopes + length * step
+            now, slope, square = tried
+    rates = Rates(slopes.tolist(), now.tolist(), target.tolist())
+    if rates.gap() > tolerance:
+        log.warning("no rates reach the targets: domain totals %s, targets %s, gap %.4f", rates.totals, rates.targets, rates.gap())
     return rates
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float | None = None, near: float = 0.1, id_col: str = "doc_id", text_col: str = "text", model: DomainModel | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float | None = None, near: float = 0.1, id_col: str = "doc_id", text_col: str = "text", model: DomainModel | None = None, report: Callable[[Rates], None] | None = None) -> DataFrame:
     """All columns, then n_tokens, posteriors, rate and copies (underscores where docs has such names; always the last four).
 
     copies is the rate rounded: a rate within `near` of a whole number takes it, others go up with the chance of their fraction, by a
-    hash of the id and text. Documents with 0 copies are not in the mixture.
+    hash of the id and text. Documents with 0 copies are not in the mixture. `report` gets the fitted rates with the achieved totals
+    and the targets.
 
     Defined results: null and blank texts have no tokens and get posteriors like others, so their rate follows their domains'; rows with equal texts
     get equal rates; an empty table gives no rows; a domain without labelled rows gets small posteriors, and without labels all are equal.
     """
     model = model or fit_domains(docs, labels, id_col=id_col, text_col=text_col)
     scored, tokens, posteriors = domain_posteriors(docs, model, text_col)
-    scored = materialise(scored, "scored")  # so that no text is scored twice; the steps read its two narrow columns
+    scored = materialise(scored, "scored")  # so that no text is scored twice; the passes read its two narrow columns
     key = fresh("draw", scored.columns)
     rates = fit_rates(scored, weights, tokens, posteriors, budget)
+    if report:
+        report(rates)
     rate, copies = fresh("rate", docs.columns), fresh("copies", docs.columns)
     draw = F.pmod(F.xxhash64(F.lit(23), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
     whole = F.round(F.col(rate))

@@ -15,7 +15,7 @@ from offsetlake.llm.fitting import fit_in_task
 from offsetlake.llm.fm_decontam import FMIndex, decontaminate, suffix_array
 from offsetlake.llm.langid import fit_languages, held_out, identify
 from offsetlake.llm.line_quality import line_quality, without_frequent_lines
-from offsetlake.llm.mixing import DOMAINS, mix
+from offsetlake.llm.mixing import DOMAINS, fit_rates, mix
 from offsetlake.llm.ngram_join import jaccard_components
 from offsetlake.llm.repeats import CountMin
 from offsetlake.llm.rule_ensemble import fit_quality, fit_rules, score_quality
@@ -314,3 +314,20 @@ def test_token_counts(docs, empty):
         w = SPACE.findall(r.text or "")
         assert (r.n_pretokens, r["n_tokens_"]) == (len(w), sum(best(MARK + x) for x in w))
     assert count_tokens(empty, pieces).count() == 0
+
+
+def test_rates_reach_their_targets(spark):
+    """Softer and softer posteriors: totals within the tolerance where rates can reach the targets, else a stationary point; both are reported."""
+    rng = np.random.default_rng(4)
+    n, kind = rng.integers(50, 500, 3000), rng.choice(3, 3000, p=[0.75, 0.2, 0.05])
+    for sharp, reachable in ((6.0, True), (3.0, True), (2.0, True), (0.0, False)):
+        z = rng.normal(size=(3000, 3)) * (sharp > 0) + sharp * np.eye(3)[kind]
+        p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+        scored = spark.createDataFrame([(int(t), q.tolist()) for t, q in zip(n, p, strict=True)], "n long, p array<double>").repartition(4).cache()
+        rates = fit_rates(scored, {"clean": 0.97, "low": 0.03}, "n", "p")
+        r = np.maximum(0, 1 + p @ rates.slopes)
+        assert np.allclose((n * r) @ p, rates.totals, rtol=1e-6)
+        step = np.maximum(0, r - p @ ((np.array(rates.totals) - rates.targets) / (n @ p)))
+        assert rates.gap() <= 5e-3 if reachable else rates.gap() > 5e-3 and (np.abs(step - r) <= 1e-2 * np.abs(r - 1) + 1e-3).all()
+        got = [x.r for x in scored.select(rates.column("p").alias("r")).orderBy("r").collect()]
+        assert np.allclose(got, np.sort(r), atol=1e-6)
