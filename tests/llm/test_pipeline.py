@@ -1,7 +1,10 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from offsetlake.llm import mixing
 
 
 def test_pipeline_stages(spark):
@@ -66,3 +69,22 @@ def test_ngram_join_stage_keeps_one_row_of_each_id(spark):
     first, again = [sorted(map(tuple, corpus_pipeline.ngram_join(spark, d, "").collect()), key=str) for d in (docs, docs.orderBy("text").repartition(5))]
     assert sorted(r[0] for r in first if r[0] is not None) == [3, 8, 11] and sum(r[0] is None for r in first) == 2
     assert first == again
+
+
+def test_mixing_stage_follows_the_rates(spark, monkeypatch):
+    """Copies of a real mixture: the domains' realised token totals are the fitted ones, up to chance."""
+    mixed, fitted = [], []
+
+    def spy(*args, **options):
+        mixed.append(mixing.mix(*args, report=fitted.append, **options))
+        return mixed[0]
+
+    monkeypatch.setattr(corpus_pipeline, "mix", spy)
+    folder = "/root/testdata/sf0.01"
+    out = corpus_pipeline.mixing(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    tokens, posteriors, rate, copies = mixed[0].columns[-4:]
+    n, p = F.col(tokens), F.col(posteriors)
+    sums = mixed[0].agg(F.sum(copies), *[F.sum(n * F.col(copies) * p[k]) for k in range(3)], *[F.sum((n * p[k]) ** 2 * (F.col(rate) - F.floor(rate)) * (1 - F.col(rate) + F.floor(rate))) for k in range(3)], F.max(F.abs(F.col(copies) - F.col(rate)))).first()
+    assert fitted[0].targets[0] > 0 and fitted[0].targets[1] > 0 and sums[7] < 1
+    assert all(abs(sums[1 + k] - fitted[0].totals[k]) <= 4 * sums[4 + k] ** 0.5 for k in range(3))
+    assert sums[0] == out.count()
