@@ -1,7 +1,8 @@
 """Vectorised words, hashes and windows over the UTF-8 bytes of an Arrow text column.
 
 A block is a run of whole documents whose texts together stay near ``BLOCK_BYTES`` (one longer text is a block of
-its own). Words are found and hashed by array operations on the bytes, so no Python object is made for each word.
+its own). Words are found and hashed by array operations on the bytes; only
+words of more than 16 bytes are hashed one by one.
 """
 
 from __future__ import annotations
@@ -12,19 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 2 << 20
-HASH_BYTES = 1 << 18
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_LEFT, _RIGHT = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of a little-endian lane
 
-
-def _tables(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
-
-
-_BYTE_VALUE = _tables(20240229)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -35,23 +30,6 @@ SPACE_WORDS[[9, 10, 11, 12, 13, 32]] = False
 ALNUM_WORDS = np.zeros(256, bool)
 ALNUM_WORDS[48:58] = ALNUM_WORDS[65:91] = ALNUM_WORDS[97:123] = ALNUM_WORDS[128:] = True
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def _pow(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        out = np.ones(size, dtype=np.uint64)
-        done = 1
-        while done < size:  # out[done:2 * done] = out[:done] * base ** done
-            step = min(done, size - done)
-            out[done : done + step] = out[:step] * _U(pow(base, done, 1 << 64))
-            done += step
-        _powers[base] = have = out
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -59,16 +37,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Position-free polynomial hash of values[start:end] for each span, by one running sum."""
-    n = len(values)
-    if not n:
-        return np.zeros(len(starts), np.uint64)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.multiply(values, _pow(_BASE, n), out=total[1:])
-    np.cumsum(total[1:], out=total[1:])
-    return mix((total[ends] - total[starts]) * _pow(_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, halves: int = 2) -> list[np.ndarray]:
+    """Halves of a 128-bit digest of each byte string data[start:end].
+
+    Up to 16 bytes are two lanes, which three rounds of a Feistel network permute, so that different strings of one length never get equal
+    digests; longer strings get xxh3's. No round is linear, so patterns of bytes cannot cancel out. One half is the first of the two.
+    """
+    size = end - start
+    wide = np.concatenate((data, np.zeros(16, np.uint8)))
+    at_byte = np.ndarray(len(data) + 9, np.uint64, wide, strides=(1,))
+    a = at_byte[start] & _MASK[np.minimum(size, 8)]
+    b = np.zeros(len(start), np.uint64)
+    more = np.flatnonzero(size > 8)
+    b[more] = at_byte[start[more] + 8] & _MASK[np.minimum(size[more] - 8, 8)]
+    b ^= mix(a + size.astype(np.uint64) * _LEFT)
+    a ^= mix(b + _RIGHT)
+    out = [a, b ^ mix(a + _LEFT)] if halves == 2 else [a]
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        each = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[i:j]) for i, j in zip(start[long].tolist(), end[long].tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+        for k, half in enumerate(out):
+            half[long] = each[:, k]
+    return out
+
+
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit xxh3 hash of the items values[start:end] of each span."""
+    raw, size = memoryview(np.ascontiguousarray(values)).cast("B"), values.itemsize
+    return np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip((start * size).tolist(), (end * size).tolist(), strict=True)), np.uint64, len(start))
 
 
 def release() -> None:
@@ -99,28 +96,36 @@ class Block:
     def word_document(self) -> np.ndarray:
         return np.repeat(np.arange(self.documents), np.diff(self.first))
 
+    def digests(self, halves: int = 2) -> list[np.ndarray]:
+        """Halves of the digest of each word (of its lower-cased A-Z form if the block folds case)."""
+        return digests(_LOWER[self.data] if self._fold else self.data, self.start, self.end, halves)
+
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word (of its lower-cased A-Z form if the block folds case)."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        table = _BYTE_VALUE[_LOWER] if self._fold else _BYTE_VALUE
-        out, low = np.empty(len(self.start), np.uint64), 0
-        while low < len(out):  # by pieces of whole words: the sums take 8 bytes a byte
-            high = max(low + 1, int(np.searchsorted(self.end, self.start[low] + HASH_BYTES, side="right")))
-            a, b = self.start[low], self.end[high - 1]
-            out[low:high] = span_sums(table[self.data[a:b]], self.start[low:high] - a, self.end[low:high] - a)
-            low = high
-        return out
+        """A 64-bit hash of each word: the first half of its digest."""
+        return self.digests(1)[0]
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start word, hash) of every run of `width` words inside one document."""
+    """(start word, hash) of every run of `width` words inside one document.
+
+    Hashes of runs of 1, 2, 4 ... words are chained by a mixing that is not linear, so patterns of words cannot cancel out.
+    """
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    run, size, whole, done = hashes, 1, None, 0
+    while True:
+        if width & size:
+            part = run[done : done + n]
+            whole = part if whole is None else mix(whole * _LEFT + part * _RIGHT)
+            done += size
+        if done == width:
+            break
+        run = mix(run[:-size] * _LEFT + run[size:] * _RIGHT)
+        size *= 2
     room = np.repeat(first[1:], np.diff(first))[: len(hashes)]
     at = np.flatnonzero(np.arange(len(hashes)) + width <= room)
-    return at, span_sums(hashes, at, at + width)
+    return at, (mix(whole) if width == 1 else whole)[at]
 
 
 def _cut(data: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

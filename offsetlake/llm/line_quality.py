@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from offsetlake.llm.blocks import SPACE_WORDS, blocks
 from offsetlake.llm.scratch import fresh, materialise
+from offsetlake.llm.skew import hot_join, hot_keys
 from offsetlake.llm.textstats import Lines, per_document, repeated_window_words, repeats, symbols, word_characters
 
 _SCHEMA = "doc_id long, row long, host long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
@@ -56,9 +57,11 @@ def line_quality(docs: DataFrame, min_docs: int = 20, share: float = 0.05, max_r
     who = F.coalesce("doc_id", "row")
     places = measured.select("host", "row", who.alias("who"), F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", "row", "who", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     sizes = measured.groupBy("host").agg(F.count_distinct(who).alias("documents"))
-    often = places.groupBy("host", "line").agg(F.count_distinct("who").alias("in_documents")).where(F.col("in_documents") > min_docs)
-    often = often.join(sizes, "host").where(F.col("in_documents") > share * F.col("documents")).select("host", "line")
-    gone = places.join(often, ["host", "line"]).dropDuplicates(["row", "host", "line"]).groupBy("row", "host").agg(F.sum("words").alias("gone"), F.collect_set("line").alias("removed_lines"))
+    often = materialise(places.groupBy("host", "line").agg(F.count_distinct("who").alias("in_documents"), F.count("*").alias("n")).where(F.col("in_documents") > min_docs), "often")
+    by_host = hot_keys(often.groupBy("host").agg(F.count("*").alias("n")), "host")
+    often = materialise(hot_join(often, sizes, ["host"], by_host).where(F.col("in_documents") > share * F.col("documents")).select("host", "line", "n"), "frequent")
+    gone = hot_join(places, often.drop("n"), ["host", "line"], hot_keys(often, "host", "line"))
+    gone = gone.dropDuplicates(["row", "host", "line"]).groupBy("row", "host").agg(F.sum("words").alias("gone"), F.collect_set("line").alias("removed_lines"))
     out = measured.drop("lines", "line_words").join(gone, ["row", "host"], "left")
     failed = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
     gone_words = F.coalesce("gone", F.lit(0).cast("long"))

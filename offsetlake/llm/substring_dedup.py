@@ -9,31 +9,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from offsetlake.llm.blocks import SPACE_WORDS, blocks, windows
-from offsetlake.llm.repeats import CHUNK_BYTES, CountMin, among, chunked, pack, pack_sorted, sketch_replies, unpack, unpack_sorted
+from offsetlake.llm.repeats import _PART, CHUNK_BYTES, CountMin, Items, Tree, chunked, documents, levels
 from offsetlake.llm.scratch import corpus_bytes
 
-_NONE = np.iinfo(np.int64).max
+_NONE = np.iinfo(np.uint64).max
+_SIGN = np.uint64(1 << 63)
 
 
-def _chunk_windows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, doc_id) of every window of a chunk; rows without a doc_id have none."""
-    ids = table["doc_id"].combine_chunks()
-    known, ids = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0))
-    hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for b in blocks(table["text"], SPACE_WORDS, fold=False):
-        at, h = windows(b.hashes(), b.first, width)
-        row = b.word_document()[at] + b.rows.start
-        hashes.append(h[known[row]])
-        owners.append(ids[row[known[row]]])
-    return np.concatenate(hashes), np.concatenate(owners)
+def _owner(ids: np.ndarray) -> np.ndarray:
+    """Ids as unsigned integers of the same order."""
+    return ids.view(np.uint64) ^ _SIGN
+
 
+def _windows(b, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start word, two hashes) of every window of a block: 128 bits in all."""
+    one, two = b.digests()
+    at, h = windows(one, b.first, width)
+    return at, h, windows(two, b.first, width)[1]
 
-def _least(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes in order, and the smallest owner of each."""
-    order = np.argsort(hashes, kind="stable")
-    h = hashes[order]
-    starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    return h[starts], np.minimum.reduceat(owners[order], starts) if len(h) else owners
+
+def _chunk_windows(docs: pa.Table, width: int) -> Items:
+    """(hash, second hash, owner) of every window of a chunk; rows without a doc_id have none."""
+    ids = docs["doc_id"].combine_chunks()
+    known, ids = np.asarray(ids.is_valid()), _owner(np.asarray(ids.fill_null(0)))
+    found = [(np.zeros(0, np.uint64),) * 3]
+    for b in blocks(docs["text"], SPACE_WORDS, fold=False):
+        at, h, h2 = _windows(b, width)
+        row = b.word_document()[at] + b.rows.start
+        mine = known[row]
+        found.append((h[mine], h2[mine], ids[row[mine]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _least(parts: list[Items]) -> Items:
+    """Distinct (hash, second hash) in order, and the smallest owner of each."""
+    h, h2, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(h):
+        return h, h2, owner
+    order = np.argsort(h, kind="stable")
+    if ((h[order][1:] == h[order][:-1]) & (h2[order][1:] != h2[order][:-1])).any():
+        order = np.lexsort((h2, h))
+    h, h2 = h[order], h2[order]
+    starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]))))
+    return h[starts], h2[starts], np.minimum.reduceat(owner[order], starts)
+
+
+def _find(own: Items, held: Items) -> np.ndarray:
+    """The owner that `held` has for each (hash, second hash) of `own`, or _NONE."""
+    out = np.full(len(own[0]), _NONE)
+    if not len(held[0]):
+        return out
+    at = np.searchsorted(held[0], own[0])
+    todo = np.arange(len(at))
+    while len(todo):  # once, but for different windows with equal first hashes
+        todo = todo[at[todo] < len(held[0])]
+        todo = todo[held[0][at[todo]] == own[0][todo]]
+        same = held[1][at[todo]] == own[1][todo]
+        out[todo[same]] = held[2][at[todo[same]]]
+        todo = todo[~same]
+        at[todo] += 1
+    return out
+
+
+def _lower(own: Items, settled: Items) -> Items:
+    """The own items that have a smaller owner elsewhere, with that owner."""
+    best = _find(own, settled)
+    low = best < own[2]
+    return own[0][low], own[1][low], best[low]
 
 
 def remove_repeated_substrings(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,68 +88,37 @@ def remove_repeated_substrings(docs: DataFrame, width: int = 13, id_col: str = "
     Rows with equal ids never remove each other's words. Texts of fewer than `width` words stay whole. An empty table gives
     no rows. Only the two named columns are read, so other columns cannot clash.
 
-    Windows are compared by 64-bit hashes. Text is shuffled once by chunk (Spark reuses that exchange for the three
-    passes); sketches, exact groups and answers travel as compressed arrays, one for each chunk and slice.
+    The prefilter compares windows by 64-bit hashes, which can only let more of them through; those that it lets through are grouped by 128 bits.
+    Texts are shuffled once, by chunk (Spark reuses that exchange for the three passes); sketches, groups and answers travel as compressed arrays in the
+    tree of `repeats`, whose blobs grow in number with the chunks.
     """
     size = corpus_bytes(docs, text_col)
-    chunks, _ = chunked(docs, id_col, text_col, size)
-    sketch = CountMin.for_keys(size // 5)
-    bucket_bits = max(0, (size // (2 * CHUNK_BYTES)).bit_length())
-
-    def keys(table: pa.Table) -> np.ndarray:
-        return _chunk_windows(table, width)[0]
-
-    replies = sketch_replies(chunks, sketch, keys)
-    exact_schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("owners", pa.binary())])
-
-    def flagged(table: pa.Table, reply: pa.Table) -> pa.Table:
-        hashes, owners = _chunk_windows(table, width)
-        keep = sketch.repeated(hashes, reply["slice"].to_pylist(), reply["blob"].to_pylist())
-        h, least = _least(hashes[keep], owners[keep])
-        cut = np.searchsorted(h >> np.uint64(64 - bucket_bits) if bucket_bits else np.zeros(len(h), np.uint64), np.arange((1 << bucket_bits) + 1, dtype=np.uint64))
-        rows = [(k, cut[k], cut[k + 1]) for k in np.flatnonzero(np.diff(cut)).tolist()]
-        chunk = table["chunk"][0].as_py()
-        return pa.table({"bucket": [k for k, _, _ in rows], "chunk": [chunk] * len(rows), "hashes": [pack_sorted(h[a:b]) for _, a, b in rows], "owners": [pack(least[a:b]) for _, a, b in rows]}, schema=exact_schema)
-
-    def grouped(table: pa.Table) -> pa.Table:
-        parts = [(c, unpack_sorted(h), unpack(o).view(np.int64)) for c, h, o in zip(table["chunk"].to_pylist(), table["hashes"].to_pylist(), table["owners"].to_pylist(), strict=True)]
-        h, least = _least(np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
-        out = {"bucket": [], "chunk": [], "hashes": [], "owners": []}
-        for chunk, own, first in parts:
-            best = least[np.searchsorted(h, own)]
-            lower = best < first
-            if lower.any():
-                out["bucket"].append(table["bucket"][0].as_py())
-                out["chunk"].append(chunk)
-                out["hashes"].append(pack_sorted(own[lower]))
-                out["owners"].append(pack(best[lower]))
-        return pa.table(out, schema=exact_schema)
-
-    exact = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(flagged, "bucket long, chunk long, hashes binary, owners binary")
-    answers = exact.groupBy("bucket").applyInArrow(grouped, "bucket long, chunk long, hashes binary, owners binary")
+    chunks = chunked(docs, id_col, text_col)
+    sketch = CountMin.for_text(size)
+    owners = Tree(64, tuple(levels(-(-size // (2 * CHUNK_BYTES)))), sketch.tree.chunks, _least, lambda merged: merged, lambda merged, told: _least([merged, told]), _lower)
+    told = sketch.exchange(chunks, lambda d: _chunk_windows(d, width)[0])
+
+    def flagged(table: pa.Table, answer: pa.Table) -> pa.Table:
+        own = _chunk_windows(documents(table), width)
+        keep = sketch.repeated(own[0], answer)
+        return owners.table(owners.parts(_least([tuple(x[keep] for x in own)]), 0, table["chunk"][0].as_py(), 0), _PART)
+
+    exact = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(flagged, "group long, path long, node long, keys binary, more binary")
+    answers = owners.replies(exact).withColumnRenamed("node", "chunk")
     result_schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def removed(table: pa.Table, answer: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(answer["bucket"].combine_chunks()))
-        there = [(answer["hashes"][i].as_py(), answer["owners"][i].as_py()) for i in order.tolist()]
-        far = np.concatenate([np.zeros(0, np.uint64)] + [unpack_sorted(h) for h, _ in there])
-        far_owner = np.concatenate([np.zeros(0, np.int64)] + [unpack(o).view(np.int64) for _, o in there])
-        near, near_owner = _least(*_chunk_windows(table, width))
-        column = table["doc_id"].combine_chunks()
-        known, ids = np.asarray(column.is_valid()), np.asarray(column.fill_null(0))
+        docs = documents(table)
+        there = [owners.unpack(k, m, p, 0) for p, k, m in sorted(zip(answer["path"].to_pylist(), answer["keys"].to_pylist(), answer["more"].to_pylist(), strict=True))]
+        far = tuple(np.concatenate(x) for x in zip((np.zeros(0, np.uint64),) * 3, *there, strict=True))
+        near = _least([_chunk_windows(docs, width)])
+        column = docs["doc_id"].combine_chunks()
+        known, ids = np.asarray(column.is_valid()), _owner(np.asarray(column.fill_null(0)))
         words, gone, texts = [], [], []
-        for b in blocks(table["text"], SPACE_WORDS, fold=False):
-            at, h = windows(b.hashes(), b.first, width)
+        for b in blocks(docs["text"], SPACE_WORDS, fold=False):
+            at, *own = _windows(b, width)
             row = b.word_document()[at] + b.rows.start
-            least = np.full(len(h), _NONE)
-            if len(near):
-                place = np.searchsorted(near, h)
-                place[place == len(near)] = 0
-                least = np.where(near[place] == h, near_owner[place], _NONE)
-            if len(far):
-                place = np.searchsorted(far, h)
-                place[place == len(far)] = 0
-                least = np.minimum(least, np.where(far[place] == h, far_owner[place], _NONE))
+            least = np.minimum(_find(own, near), _find(own, far))
             hit = at[(least < ids[row]) & known[row]]
             edge = np.zeros(len(b.start) + 1, np.int64)
             np.add.at(edge, hit, 1)

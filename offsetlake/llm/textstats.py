@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from offsetlake.llm.blocks import _BYTE_VALUE, _LOWER, Block, mix, span_sums, windows
+from offsetlake.llm.blocks import _LOWER, Block, digests, mix, span_hashes, windows
 
 #: The symbols that the quality rules count.
 SYMBOLS = b"#*$%&|<>"
@@ -68,13 +68,13 @@ class Lines:
         some = last > first
         self.start, self.stop, self.first, self.last = starts[some], stop[some], first[some], last[some]
         self.document = np.searchsorted(block.offsets, self.start, side="right") - 1
-        self.raw = span_sums(_BYTE_VALUE[block.data], self.start, self.stop)
+        self.raw = span_hashes(block.data, self.start, self.stop)
 
     @staticmethod
     def folded(block: Block) -> np.ndarray:
         """Hash of each word with A-Z folded."""
-        return span_sums(_BYTE_VALUE[_LOWER][block.data], block.start, block.end) if len(block.start) else np.zeros(0, np.uint64)
+        return digests(_LOWER[block.data], block.start, block.end, 1)[0]
 
     def normalised(self, block: Block) -> np.ndarray:
         """Hash of each line's words, A-Z folded; blanks do not count."""
-        return span_sums(self.folded(block), self.first, self.last)
+        return span_hashes(self.folded(block), self.first, self.last)
