@@ -9,13 +9,18 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offsetlake.llm.scratch import materialise
+from offsetlake.llm.skew import hot_join, hot_keys
+
 ARCHIVE_BYTES = 8 << 20
 MIN_DEDUP_BYTES = 100
 _PAGE = b"X-Page-Id"
@@ -27,6 +32,10 @@ ARC_FIELDS = {
 }
 
 
+#: A header line: URL (blanks may be in it), address, date, type (blanks may be in it), the other fields of version 2, length.
+_HEADER = {v: re.compile(rb"(.+?) ([0-9A-Fa-f.:]+|-) ([0-9]{4,17}) (.*)" + b" ([^ ]+)" * (len(fields.split()) - 5) + rb" ([0-9]+)") for v, fields in ARC_FIELDS.items()}
+
+
 def arc_archive(name: str, version: int, records: Iterator[tuple[str | None, str, bytes]]) -> bytes:
     """An ARC file of (url, 14-digit date, HTTP response) records with the header lines of that version."""
     out = io.BytesIO()
@@ -44,33 +53,38 @@ def arc_archive(name: str, version: int, records: Iterator[tuple[str | None, str
 
 
 def read_arc(content: bytes) -> Iterator[dict]:
-    """Records of an ARC file: its first block names the version, whose header fields are counted from both ends of a line.
+    """Records of an ARC file, which may be gzipped: its first block names the version, whose fields are counted from both ends of a header line.
 
+    Blanks in the URL or the content type belong to these: address and date stand between them, and the version's last fields are at the end.
     A header's declared length bounds the record; blank lines between records are skipped. A line with too few fields or a length that is no
     number or beyond the file raises ValueError: a damaged archive is an error, not a shorter archive.
     """
+    content = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
     at, version = 0, 0
     while at < len(content):
         end = content.find(b"\n", at)
         end = len(content) if end < 0 else end
-        fields = content[at:end].rstrip(b"\r").split(b" ")
-        if fields == [b""]:
+        line = content[at:end].rstrip(b"\r")
+        if not line:
             at = end + 1
             continue
         if not version:
-            body = content[end + 1 : end + 1 + int(fields[-1])]
-            version = int(body.split(b" ", 1)[0])
-            if version not in ARC_FIELDS or not fields[0].startswith(b"filedesc:"):
+            size = line.rsplit(b" ", 1)[-1]
+            body = content[end + 1 : end + 1 + int(size)] if size.isdigit() else b""
+            mark = body.split(b" ", 1)[0]
+            version = int(mark) if mark.isdigit() else 0
+            if version not in ARC_FIELDS or not line.startswith(b"filedesc:"):
                 raise ValueError("no ARC version block")
             at = end + 1 + len(body)
             continue
-        if len(fields) != len(ARC_FIELDS[version].split()) or not fields[-1].isdigit():
+        fields = _HEADER[version].fullmatch(line)
+        if not fields:
             raise ValueError(f"bad ARC header at {at}")
-        size = int(fields[-1])
-        if end + 1 + size > len(content):
+        url, ip, date, kind, *_, size = fields.groups()
+        if end + 1 + int(size) > len(content):
             raise ValueError(f"ARC record at {at} is cut short")
-        yield {"offset": at, "url": fields[0].decode(), "ip": fields[1].decode(), "date": fields[2].decode(), "type": fields[3].decode(), "body": content[end + 1 : end + 1 + size]}
-        at = end + 1 + size
+        yield {"offset": at, "url": url.decode("utf-8", "replace"), "ip": ip.decode(), "date": date.decode(), "type": kind.decode("utf-8", "replace"), "body": content[end + 1 : end + 1 + int(size)]}
+        at = end + 1 + int(size)
 
 
 def split_http(body: bytes) -> tuple[bytes, bytes]:
@@ -117,17 +131,20 @@ def read_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size + 4
 
 
-def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "20240101000000") -> DataFrame:
-    """(archive, content): ARC files of about ARCHIVE_BYTES, in turn of version 1 and 2. Null html is an empty payload; a null id is left out of the HTTP header."""
+def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "20240101000000", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """(archive, content): ARC files of about archive_bytes, in turn of version 1 and 2. Null html is an empty payload; a null id is left out of the HTTP header.
+
+    An archive is named by the partition that wrote it and its number there, so names are unique in the table. Header lines count in its size, so
+    archives of empty pages are bounded too.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, made = [], 0, 0
+        held, size, made, part = [], 0, 0, TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, made
             made += 1
-            digest = hashlib.sha256(b"".join(hashlib.sha256(b).digest() for _, _, b in held)).hexdigest()[:20]
-            name = f"{digest}-{made}.arc"
+            name = f"part-{part:06d}-{made:06d}.arc"
             content = arc_archive(name, 1 + made % 2, iter(held))
             held, size = [], 0
             return pa.RecordBatch.from_pydict({"archive": [name], "content": [content]}, schema=pa.schema([("archive", pa.string()), ("content", pa.binary())]))
@@ -138,8 +155,8 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 payload = html.as_py() or b""
                 head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + (b"%s: %d\r\n" % (_PAGE, i) if i is not None else b"") + b"Content-Length: %d\r\n\r\n" % len(payload)
                 held.append((url, date, head + payload))
-                size += len(payload)
-                if size >= ARCHIVE_BYTES:
+                size += len(head) + len(payload) + len(url or "") + 100
+                if size >= archive_bytes:
                     yield flush()
         if held:
             yield flush()
@@ -151,7 +168,7 @@ _INDEX = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("page_id"
 
 
 def index_arc(archives: DataFrame) -> DataFrame:
-    """(archive, offset, page_id, digest, payload_bytes) of every record of the ARC files."""
+    """(archive, offset, page_id, digest, payload_bytes) of every HTTP response in the ARC files."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,26 +176,32 @@ def index_arc(archives: DataFrame) -> DataFrame:
                 rows = []
                 for r in read_arc(content.as_py()):
                     head, payload = split_http(r["body"])
-                    page = http_field(head, _PAGE)
-                    rows.append((name, r["offset"], int(page) if page is not None else None, hashlib.sha256(payload).hexdigest(), len(payload)))
+                    if head:
+                        rows.append((name, r["offset"], _number(http_field(head, _PAGE)), hashlib.sha256(payload).hexdigest(), len(payload)))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], f.type) for k, f in enumerate(_INDEX)], schema=_INDEX)
 
     return archives.select("archive", "content").mapInArrow(parse, "archive string, offset long, page_id long, digest string, payload_bytes long")
 
 
+def _number(text: bytes | str | None) -> int | None:
+    return int(text) if text is not None else None
+
+
 def arc_to_warc(archives: DataFrame, min_bytes: int = MIN_DEDUP_BYTES) -> DataFrame:
     """(archive, content): one WARC file (a gzip member a record) for each ARC file.
 
-    Of records with equal payloads of at least min_bytes, the one with the smallest page id (then archive and offset) is a response, the others are
-    revisits of it: HTTP header only, with the payload's digest and the response's record id. Identifiers are made from archive name and offset,
-    times from the ARC date, digests from the payload. A record without page id is always a response.
+    Of HTTP records with equal payloads of at least min_bytes, those with the smallest page id are responses (repeated rows all are), the others are
+    revisits of the first of these by archive and offset: HTTP header only, with the payload's digest and the response's record id. A record without
+    an HTTP header is a resource with its own content type. Identifiers are made from archive name and offset, times from the ARC date, digests from
+    the payload. A record without page id is never a revisit.
 
-    Only each archive's list of revisits is grouped with it (archives are of bounded size); payloads are neither sorted nor compared, digests are.
+    Only each archive's list of revisits is grouped with it (archives are of bounded size, and some four of them are a task's); payloads are neither
+    sorted nor compared, digests are.
     """
     index = index_arc(archives)
     large = index.where((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull())
-    first = large.groupBy("digest").agg(F.min(F.struct("page_id", "archive", "offset")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
-    again = large.join(first, "digest").where((F.col("archive") != F.col("first.archive")) | (F.col("offset") != F.col("first.offset")))
+    first = materialise(large.groupBy("digest").agg(F.min(F.struct("page_id", "archive", "offset")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    again = hot_join(large, first.select("digest", "first"), ["digest"], hot_keys(first, "digest")).where(F.col("page_id") > F.col("first.page_id"))
     again = again.select("archive", "offset", F.col("first.page_id").alias("page_id"), F.col("first.archive").alias("of"), F.col("first.offset").alias("at"))
 
     def convert(arc: pa.Table, revisits: pa.Table) -> pa.Table:
@@ -188,41 +211,47 @@ def arc_to_warc(archives: DataFrame, min_bytes: int = MIN_DEDUP_BYTES) -> DataFr
             parts = [warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", warc_id(name, 0)), ("WARC-Date", warc_date("20240101000000")), ("Content-Type", "application/warc-fields")], f"software: offsetlake\r\nconverted-from: {name}\r\n".encode())]
             for r in read_arc(content.as_py()):
                 head, payload = split_http(r["body"])
-                fields = [("WARC-Record-ID", warc_id(name, r["offset"])), ("WARC-Date", warc_date(r["date"])), ("WARC-Target-URI", r["url"]), ("WARC-IP-Address", r["ip"]), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha256:{hashlib.sha256(payload).hexdigest()}"), ("WARC-Identified-Payload-Type", r["type"])]
+                about = [("WARC-Record-ID", warc_id(name, r["offset"])), ("WARC-Date", warc_date(r["date"])), ("WARC-Target-URI", r["url"]), ("WARC-IP-Address", r["ip"]), ("WARC-Payload-Digest", f"sha256:{hashlib.sha256(payload).hexdigest()}")]
+                about = [(k, v) for k, v in about if (k, v) != ("WARC-IP-Address", "-")]
+                if not head:
+                    parts.append(warc_record([("WARC-Type", "resource"), *about, ("Content-Type", r["type"] or "application/octet-stream")], payload))
+                    continue
+                about += [("Content-Type", "application/http; msgtype=response"), ("WARC-Identified-Payload-Type", r["type"])]
                 if r["offset"] in named:
                     page, of, at = named[r["offset"]]
-                    fields = [("WARC-Type", "revisit"), *fields, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", warc_id(of, at)), ("WARC-Refers-To-Page", str(page)), ("WARC-Truncated", "length")]
-                    parts.append(warc_record(fields, head))
+                    about = [("WARC-Type", "revisit"), *about, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", warc_id(of, at)), ("WARC-Refers-To-Page", str(page)), ("WARC-Truncated", "length")]
+                    parts.append(warc_record(about, head))
                 else:
-                    parts.append(warc_record([("WARC-Type", "response"), *fields], r["body"]))
-            out["archive"].append(name.removesuffix(".arc") + ".warc.gz")
+                    parts.append(warc_record([("WARC-Type", "response"), *about], r["body"]))
+            out["archive"].append(name.removesuffix(".gz").removesuffix(".arc") + ".warc.gz")
             out["content"].append(b"".join(parts))
         return pa.table(out, schema=pa.schema([("archive", pa.string()), ("content", pa.binary())]))
 
-    return archives.select("archive", "content").groupBy("archive").cogroup(again.groupBy("archive")).applyInArrow(convert, "archive string, content binary")
+    dealt = archives.select("archive", "content").repartition(max(1, archives.count() // 4), "archive")
+    return dealt.groupBy("archive").cogroup(again.groupBy("archive")).applyInArrow(convert, "archive string, content binary")
 
 
 _RECORD = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("refers_to_id", pa.string())])
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """One row for each response or revisit record of the WARC files; a response's payload is measured and hashed anew and must match its digest."""
+    """One row for each response, revisit or resource record of the WARC files; a payload that is there is measured and hashed anew and must match its digest."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
                 for fields, block in read_warc(content.as_py()):
-                    if fields["warc-type"] not in ("response", "revisit"):
+                    kind = fields["warc-type"]
+                    if kind not in ("response", "revisit", "resource"):
                         continue
-                    head, payload = split_http(block)
-                    page, refers = http_field(head, _PAGE), fields.get("warc-refers-to-page")
+                    head, payload = split_http(block) if kind != "resource" else (b"", block)
                     digest, size = fields["warc-payload-digest"].partition(":")[2], len(payload)
-                    if fields["warc-type"] == "revisit":
+                    if kind == "revisit":
                         size = int(http_field(head, b"Content-Length") or 0)
                     elif hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"payload of {fields['warc-record-id']} does not match its digest")
-                    rows.append((int(page) if page is not None else None, fields["warc-record-id"], fields.get("warc-target-uri"), size, digest, fields["warc-type"], int(refers) if refers else None, fields.get("warc-refers-to")))
+                    rows.append((_number(http_field(head, _PAGE)), fields["warc-record-id"], fields.get("warc-target-uri"), size, digest, kind, _number(fields.get("warc-refers-to-page")), fields.get("warc-refers-to")))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], f.type) for k, f in enumerate(_RECORD)], schema=_RECORD)
 
     return archives.select("content").mapInArrow(parse, "page_id long, record_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, refers_to_id string")
