@@ -39,10 +39,14 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 17, id_col: str =
     n = names
     twice = f"(2 * (`{n['before']}` + `{n['rank']}`) + 1)"
     placed = ranked.withColumn(n["bucket"], F.expr(f"{twice} * {buckets} div (2 * `{n['rows']}`)")).withColumn(n["rank"], F.expr(f"{twice} / `{n['rows']}`"))
-    # How many rows of each source lie in each range of the fractional rank follows from the source's size alone.
-    source = counts.select(n["stratum"], n["rows"]).distinct().select(n["rows"], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias(n["bucket"]))
+    # How many rows of each source lie in each range of the fractional rank follows from the source's size alone. A source with fewer rows than
+    # ranges gives a row for each of its rows, so there are never more of them than rows of the table.
+    size, at = c["rows"], F.col(n["slot_of"])
+    source = counts.select(n["stratum"], n["rows"]).distinct().select(n["rows"], F.explode(F.sequence(F.lit(0).cast("long"), F.least(size, F.lit(buckets).cast("long")) - 1)).alias(n["slot_of"]))
+    source = source.withColumn(n["bucket"], F.when(size < buckets, F.expr(f"(2 * `{n['slot_of']}` + 1) * {buckets} div (2 * `{n['rows']}`)")).otherwise(at))
     below = "((2 * {b} * `{r}` - 1) div {k} + 1) div 2"
     upto = F.expr(f"{below.format(b=f'(`{n["bucket"]}` + 1)', r=n['rows'], k=buckets)} - {below.format(b=f'`{n["bucket"]}`', r=n['rows'], k=buckets)}")
+    upto = F.when(size < buckets, F.lit(1).cast("long")).otherwise(upto)
     per = source.groupBy(names["bucket"]).agg(F.sum(upto).alias(names["part"]))
     whole = Window.orderBy(names["bucket"]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = per.select(names["bucket"], (F.sum(names["part"]).over(whole) - c["part"]).alias(names["before"]), F.sum(names["part"]).over(Window.partitionBy()).alias(names["all"]))
