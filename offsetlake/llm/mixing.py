@@ -102,7 +102,7 @@ def train_domains(texts: pa.Array | pa.ChunkedArray, target: np.ndarray, least:
 def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_row_bytes: int = 32768, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic") -> DomainModel:
     """Learn from about max_rows labelled rows (twice that at most) with texts up to max_row_bytes, drawn by a hash of the id; held-out ids are not used. One task fits."""
     narrow = docs.where(F.octet_length(text_col) <= max_row_bytes).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = labelled_sample(narrow, labels, [quality_col, toxic_col], max_rows, "doc_id")
+    sample = labelled_sample(narrow, labels, [quality_col, toxic_col], max_rows)
     domain = F.when(F.col(f"label_{toxic_col}") == 1, 2).when(F.col(f"label_{quality_col}") == 0, 1).otherwise(0)
     rows = sample.select("doc_id", "text", domain.alias("domain"))
 

@@ -180,19 +180,24 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, see
     return RuleModel([rules[k] for k in chosen], [float(weights[k]) for k in chosen], float(bias))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_rows: int, id_col: str = "doc_id", label_id_col: str = "doc_id") -> DataFrame:
-    """The documents of about max_rows labelled rows that are not held out, drawn by a hash of the id, with the label columns (named label_<column>)."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_rows: int, label_id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, text, label_<column> ...): at most 2 * max_rows rows of labelled documents (doc_id, text) that are not held out, drawn by a hash of the id.
+
+    A document id counts once for each of its labels, with the text of the smallest hash, however often its row is repeated.
+    """
     known = labels.where(F.col(label_id_col).isNotNull() & ~held_out(label_id_col) & F.coalesce(*[F.col(c) for c in columns]).isNotNull())
-    draw = F.pmod(F.xxhash64(F.lit(3), F.col(label_id_col).cast("long")), F.lit(1 << 40))
+    named = [f"label_{c}" for c in columns]
+    known = known.select(F.col(label_id_col).cast("long").alias("doc_id"), *[F.col(c).alias(n) for c, n in zip(columns, named, strict=True)]).distinct()
+    draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 40))
     share = min(1.0, max_rows / max(1, known.count()))
-    key = fresh("label_id", docs.columns)
-    chosen = known.where(draw < share * float(1 << 40)).orderBy(draw).limit(2 * max_rows).select(F.col(label_id_col).cast("long").alias(key), *[F.col(c).alias(f"label_{c}") for c in columns])
-    return docs.join(F.broadcast(chosen), F.col(id_col).cast("long") == F.col(key)).drop(key)
+    chosen = known.where(draw < share * float(1 << 40)).orderBy(draw, *named).limit(2 * max_rows)
+    found = docs.join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", *named).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> RuleModel:
     """Learn from about max_rows labelled rows (twice that at most), whole texts; held-out ids and null labels are not used. Only statistics reach the driver."""
-    sample = labelled_sample(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), labels, [label_col], max_rows, "doc_id")
+    sample = labelled_sample(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), labels, [label_col], max_rows)
     measured, names = with_statistics(sample)
     rows = measured.select(f"label_{label_col}", *names, "doc_id").orderBy("doc_id", f"label_{label_col}", *names).collect()
     x = np.array([[r[n] for n in names] for r in rows]).reshape(-1, len(names))
