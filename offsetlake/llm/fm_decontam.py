@@ -109,8 +109,10 @@ class FMIndex:
 class Phrases:
     """Windows of benchmark items as rows of word numbers, by length, and the items of each window."""
 
-    def __init__(self, items: list[tuple[int, bytes]], width: int):
-        ids = np.array([i for i, _ in items], np.int64)
+    def __init__(self, items: list[tuple[int | str, bytes]], width: int):
+        self.ids = sorted({i for i, _ in items})
+        place = {i: k for k, i in enumerate(self.ids)}
+        ids = np.array([place[i] for i, _ in items], np.int64)
         parts = [(b.hashes(), b.first, b.rows.start) for b in blocks(pa.array([t for _, t in items], pa.large_binary()), ALNUM_WORDS, fold=True)]
         self.words = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for h, _, _ in parts)]))
         rows: dict[int, dict[bytes, set[int]]] = {}
@@ -128,14 +130,14 @@ class Phrases:
         self.shortest = min(rows, default=1)
         self.bits = max(1, int(len(self.words)).bit_length())
 
-    def spans(self, block: Block) -> tuple[np.ndarray, list[set[int]]]:
+    def spans(self, block: Block) -> tuple[np.ndarray, list[set[int | str]]]:
         """Which words of the block are inside occurrences, and the items found in each document.
 
         The shard's index holds the runs of words that the phrases have, at least as long as the shortest phrase: nothing
         else can hold an occurrence. Runs end at a word that no phrase has and at a document's end.
         """
         hashes = block.hashes()
-        found: list[set[int]] = [set() for _ in range(block.documents)]
+        found: list[set[int | str]] = [set() for _ in range(block.documents)]
         if not len(self.words) or not len(hashes):
             return np.zeros(len(hashes), bool), found
         number = np.searchsorted(self.words, hashes)
@@ -169,15 +171,15 @@ class Phrases:
             np.add.at(edge, at + phrases.shape[1], -1)
             document = np.searchsorted(block.first, at, side="right") - 1
             for d, w in np.unique(np.stack((document, np.repeat(hits, count))), axis=1).T.tolist():
-                found[d].update(owners[cut[w] : cut[w + 1]].tolist())
+                found[d].update(self.ids[k] for k in owners[cut[w] : cut[w + 1]].tolist())
         return np.cumsum(edge[:-1]) > 0, found
 
 
-def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, bytes]]]:
+def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, kind: T.DataType) -> Iterator[list[tuple[int | str, bytes]]]:
     """Items in blocks of about BLOCK_ITEM_BYTES, so what is broadcast at once is bounded whatever the benchmark's size."""
     now, size = [], 0
     chosen = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
-    for item, text in chosen.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).toLocalIterator():
+    for item, text in chosen.select(F.col(item_col).cast(kind), F.col(text_col).cast("string")).toLocalIterator():
         now.append((item, text.encode()))
         size += len(now[-1][1])
         if size >= BLOCK_ITEM_BYTES:
@@ -192,7 +194,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_c
 
     Words are maximal runs of 0-9, A-Z (folded), a-z and bytes above 0x7F. A phrase is `width` consecutive words of an item, or
     all words of an item with fewer. All columns of `docs` stay; added are n_words, n_hit (words inside an occurrence), hit_spans (array of first and
-    last word, merged) and hit_items (sorted distinct item ids); with_text also adds clean_text, the text without the bytes from each span's
+    last word, merged) and hit_items (sorted distinct item ids, strings if item_col has strings, else long); with_text also adds clean_text, the text without the bytes from each span's
     first word to its last. The names of added columns get underscores if docs has them; they are always the last columns, in this order.
 
     Defined results: null text has no words, no hits and stays null; items without id or words find nothing; equal items share phrases and are all
@@ -202,12 +204,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_c
     spark, out = docs.sparkSession, docs
     names = [fresh(n, docs.columns) for n in ("n_words", "n_hit", "hit_spans", "hit_items", "clean_text")]
     span = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
-    kinds = [T.LongType(), T.LongType(), T.ArrayType(span), T.ArrayType(T.LongType()), T.StringType()]
+    item = T.StringType() if isinstance(benchmark.schema[item_col].dataType, T.StringType) else T.LongType()
+    arrow_item = pa.string() if isinstance(item, T.StringType) else pa.int64()
+    kinds = [T.LongType(), T.LongType(), T.ArrayType(span), T.ArrayType(item), T.StringType()]
     added = [T.StructField(n, k) for n, k in zip(names[: 4 + with_text], kinds, strict=False)]
     schema = T.StructType([*docs.schema.fields, *added])
     place = docs.columns.index(text_col)
     width_in = len(docs.columns)
-    packs = _item_blocks(benchmark, item_col, item_text_col)
+    packs = _item_blocks(benchmark, item_col, item_text_col, item)
     pack = next(packs, [])
     later = False
     while True:
@@ -245,7 +249,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_c
                         for a, b in pairs:
                             keep[block.start[low + a] - block.offsets[d] : block.end[low + b] - block.offsets[d]] = False
                         clean.append(raw[keep].tobytes())
-                made = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(items, pa.list_(pa.int64()))]
+                made = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(items, pa.list_(arrow_item))]
                 if with_text:
                     made.append(pa.array(clean, pa.binary()).cast(pa.string()))
                 kept = batch.columns[:width_in]
