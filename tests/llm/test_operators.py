@@ -99,28 +99,132 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent}
 
 
+def thue_morse(size, one="a", two="b"):
+    return "".join((one, two)[bin(i).count("1") & 1] for i in range(size))
+
+
+#: Words that a polynomial hash modulo a power of two cannot tell apart, and words that differ in a zero byte or at a lane's end.
+CRAFTED = [thue_morse(n, *p) for n in (8, 16, 1024, 2048, 4096) for p in ("ab", "ba")] + ["a", "a\0", "a" * 8, "a" * 9, "a" * 16, "a" * 17]
+
+
+def test_digests_tell_words_apart():
+    import pyarrow as pa
+
+    from offsetlake.llm.blocks import SPACE_WORDS, blocks, windows
+
+    b = next(blocks(pa.array([" ".join(CRAFTED), None, " ".join(reversed(CRAFTED)), "", "A" * 20]), SPACE_WORDS, True))
+    one, two = b.digests()
+    own = one[: len(CRAFTED)].tolist()
+    assert len(set(own)) == len(CRAFTED) and own[::-1] == one[len(CRAFTED) : 2 * len(CRAFTED)].tolist() and one[-1] == next(blocks(pa.array(["a" * 20]), SPACE_WORDS, True)).hashes()[0]
+    assert b.hashes().tolist() == one.tolist() and len(set(two[: len(CRAFTED)].tolist())) == len(CRAFTED)
+    rng, first = np.random.default_rng(1), np.array([0, 30, 30, 41, 1000])
+    words_ = rng.integers(0, 3, 1000).astype(np.uint64)
+    for width in (1, 2, 3, 5, 8, 10, 13):
+        at, h = windows(words_, first, width)
+        runs = [tuple(words_[k : k + width].tolist()) for k in at.tolist()]
+        assert at.tolist() == [k for k in range(1000) if any(a <= k and k + width <= b for a, b in zip(first, first[1:]))]
+        assert len(set(zip(runs, h.tolist()))) == len(set(runs)) == len(set(h.tolist()))
+
+
+def test_crafted_texts_stay_apart(spark):
+    """Texts of crafted words: no link, no removal, no hit, no repeated line."""
+    texts = [" ".join([w] * 20) + "\n" + w for w in (thue_morse(1024), thue_morse(1024, "b", "a"))]
+    table = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)
+    assert {r.component_id for r in jaccard_components(table).collect()} == {0, 1}
+    assert all(r.n_removed == 0 for r in remove_repeated_substrings(table).collect())
+    assert [r.n_hit for r in decontaminate(table, spark.createDataFrame([(1, texts[1])], "item_id long, text string")).orderBy("doc_id").collect()] == [0, 21]
+    both = spark.createDataFrame([row(0, thue_morse(1024) + "\n" + thue_morse(1024, "b", "a"))], SCHEMA)
+    assert line_quality(both).first().n_dup_lines == 0
+
+
 def test_count_min_never_low():
-    rng = np.random.default_rng(1)
-    keys = rng.integers(0, 1 << 62, 5000).astype(np.uint64)
-    parts = [np.concatenate((keys[:3000], keys[:50])), keys[2500:]]
-    sketch = CountMin(12, 2, 8)
     import pyarrow as pa
 
-    from offsetlake.llm.repeats import merge_slice
+    from offsetlake.llm.repeats import _PART, Tree, _held, _repeated, _twice
 
-    by_slice, replies = {}, {0: ([], []), 1: ([], [])}
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 1 << 62, 5000).astype(np.uint64)
+    parts = [np.concatenate((keys[:3000], keys[:50])), keys[2500:], keys[:0]]
+    sketch = CountMin(12, Tree(12, (4,), 3, _twice, _repeated, lambda merged, told: told, _held))
+    by_path = {}
     for c, p in enumerate(parts):
-        for s, b in sketch.slices(p):
-            by_slice.setdefault(s, []).append((c, b))
-    for s, rows in by_slice.items():
-        t = merge_slice(pa.table({"slice": [s] * len(rows), "chunk": [c for c, _ in rows], "blob": [b for _, b in rows]}))
-        for c, b in zip(t["chunk"].to_pylist(), t["blob"].to_pylist()):
-            replies[c][0].append(s)
-            replies[c][1].append(b)
-    count = Counter(np.concatenate(parts).tolist())
+        for r in sketch.parts(p, c):
+            by_path.setdefault(r[1], []).append(r)
+    told = []
+    for rows in by_path.values():
+        path, nodes, own = sketch.tree._own(sketch.tree.table(rows, _PART), 0)
+        told.append(sketch.tree._tell(path, nodes, own, sketch.tree.top(sketch.tree.merge(own)), 0))
+    told, count = pa.concat_tables(told), Counter(np.concatenate(parts).tolist())
     for c, p in enumerate(parts):
-        said = sketch.repeated(p, *replies[c])
-        assert all(s for k, s in zip(p.tolist(), said) if count[k] > 1)
+        said = sketch.repeated(p, told.filter(pa.array([n == c for n in told["node"].to_pylist()])))
+        assert all(s for k, s in zip(p.tolist(), said) if count[k] > 1) and (not len(p) or not said.all())
+
+
+def test_tree_of_many_levels(spark, docs, monkeypatch):
+    """Tiny chunks and fans give a tree of several levels: the same results, and blobs that grow with the text."""
+    from offsetlake.llm import repeats, substring_dedup
+    from offsetlake.llm.ngram_join import ngram_sets
+
+    want = [sorted(map(str, f(docs).collect())) for f in (remove_repeated_substrings, ngram_sets)]
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(repeats, "FAN_BITS", 2)
+    assert len(CountMin.for_text(15000).tree.cuts) == 3
+    assert [sorted(map(str, f(docs).collect())) for f in (remove_repeated_substrings, ngram_sets)] == want
+    rng, sent = np.random.default_rng(5), []
+    monkeypatch.setattr(repeats, "FAN_BITS", 3)
+    for k in (1, 2, 4):
+        many = spark.createDataFrame([(i, " ".join(map(str, rng.integers(0, 10**9, 40).tolist()))) for i in range(160 * k)], "doc_id long, text string").repartition(2)
+        chunks, sketch = repeats.chunked(many, "doc_id", "text"), CountMin.for_text(many.count() * 390)
+        found = sketch.sent(chunks, lambda d: substring_dedup._chunk_windows(d, 13)[0]).groupBy("node").count().agg(F.max("count").alias("most"), F.sum("count").alias("all"), F.count("*").alias("chunks")).first()
+        # however many ranges there are, a chunk sends 2**FAN_BITS blobs a sketch row at most
+        assert found["chunks"] >= 80 * k and found["most"] <= sketch.depth << repeats.FAN_BITS
+        sent.append(sum(sketch.tree.cuts))
+    assert sent[2] == sent[0] + 2  # four times the ranges
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    from offsetlake.llm import skew
+
+    monkeypatch.setattr(skew, "LEAST_ROWS", 10)
+    many = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)] + [(None, i) for i in range(30)], "k long, v long")
+    few = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z"), (None, "n")], "k long, w string")
+    hot = skew.hot_keys(many.groupBy("k").agg(F.count("*").alias("n")), "k")
+    assert {r["k"] for r in hot.rows} == {1, None} and hot.limit == 10
+    for how in ("inner", "left"):
+        got, want = skew.hot_join(many, few, ["k"], hot, how), many.join(few, ["k"], how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == want.columns
+    assert skew.hot_keys(many.limit(0).groupBy("k").agg(F.count("*").alias("n")), "k").rows == []
+
+
+def test_join_and_components_with_hot_keys(spark, monkeypatch):
+    """Near copies and exact copies in large groups, every join split: the same components as by brute force."""
+    from offsetlake.llm import skew
+
+    monkeypatch.setattr(skew, "LEAST_ROWS", 3)
+    rng, rows = random.Random(11), []
+    for g, size in enumerate((40, 12, 3)):
+        base = [f"w{rng.randrange(3000)}" for _ in range(90)]
+        for k in range(size):
+            own = list(base)
+            own[rng.randrange(90)] = f"x{k % 7}"
+            rows.append((100 * g + k, " ".join(own if k % 3 else base)))
+    rows += [(None, rows[0][1])] * 20 + [rows[5]] * 8
+    sets = [(i, shingles(t)) for i, t in rows]
+    parent = {i: i for i, _ in sets if i is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in sets:
+        for j, b in sets:
+            if i is not None and j is not None and 100 * len(a & b) >= 90 * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter((i, len(s), None if i is None else find(i)) for i, s in sets)
 
 
 def test_substring_dedup(docs, empty):
@@ -177,6 +281,8 @@ def test_decontamination(spark, docs, empty):
                     items |= ids
         assert (r.n_words_, r.n_hit, r.hit_items) == (len(w), len(hit), sorted(items))
         assert tokens(r.clean_text) == [x for k, x in enumerate(w) if k not in hit] and (r.clean_text is None) == (r.text is None)
+    named = bench.select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("item_id"), "text")
+    assert {r.doc_id: r.hit_items for r in decontaminate(docs, named).where("n_hit > 0").collect()} == {r.doc_id: [f"item-{i}" for i in r.hit_items] for r in out.where("n_hit > 0").collect()}
     assert decontaminate(empty, bench).count() == 0 and decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
@@ -190,6 +296,24 @@ def test_interleave(docs, empty):
     assert interleave(empty, 5).count() == 0
 
 
+@pytest.mark.parametrize("buckets", [1, 7, 64])
+def test_interleave_against_brute_force(spark, docs, buckets):
+    """Shards and slots follow from the fractional ranks of the seeded order, whatever the number of buckets; also of a null source and small sources."""
+    rng = random.Random(12)
+    rows = [row(i, words(rng, 5), source=rng.choice(["big"] * 8 + ["mid"] * 3 + ["one", None])) for i in range(300)] + [row(900, "t", source="single")]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    out = interleave(table, 24, buckets=buckets).withColumns({"key_": F.xxhash64(F.lit(17), "doc_id", "text"), "stratum_": F.xxhash64(F.lit(17), "source")}).collect()
+    by_source = {}
+    for r in sorted(out, key=lambda r: ((r.key_ % 2**64 >> 32) % buckets, r.key_)):
+        by_source.setdefault(r.stratum_, []).append(r)
+    order = sorted(((2 * k + 1) / len(g), s, r.key_, r.doc_id) for s, g in by_source.items() for k, r in enumerate(g))
+    n, want = len(order), {}
+    for at, (_, _, _, i) in enumerate(order):
+        shard = at * 24 // n
+        want[i] = (shard, at - -(-shard * n // 24))
+    assert {r.doc_id: (r["shard_"], r.slot) for r in out} == want
+
+
 def test_interleave_keeps_the_mixture(spark):
     many = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
     per = {r.shard: r.n for r in interleave(many, 10).where("source = 'a'").groupBy("shard").agg(F.count("*").alias("n")).collect()}
@@ -206,7 +330,7 @@ def test_archives(spark):
     got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out)
     def digest(t):
         return hashlib.sha256((t or "").encode()).hexdigest()
-    want = Counter([(9, len(same), digest(same), "revisit", 4), (4, len(same), digest(same), "response", None), (4, len(same), digest(same), "revisit", 4), (5, 5, digest("small"), "response", None), (6, 5, digest("small"), "response", None), (7, 0, digest(None), "response", None), (8, 132, digest(rows[5][2]), "response", None), (None, len(same), digest(same), "response", None)])
+    want = Counter([(9, len(same), digest(same), "revisit", 4), (4, len(same), digest(same), "response", None), (4, len(same), digest(same), "response", None), (5, 5, digest("small"), "response", None), (6, 5, digest("small"), "response", None), (7, 0, digest(None), "response", None), (8, 132, digest(rows[5][2]), "response", None), (None, len(same), digest(same), "response", None)])
     assert got == want
     assert A.read_archives(A.arc_to_warc(A.pages_to_arc(pages.limit(0)))).count() == 0
 
@@ -221,6 +345,44 @@ def test_arc_versions(version):
         list(A.read_arc(content[:-12]))
 
 
+LEGACY = {
+    1: b"filedesc://old.arc 0.0.0.0 19970101000000 text/plain %d\n%shttp://h/a b.html 192.0.2.7 19970102030405 text/html; charset=utf-8 %d\n%s\nhttp://h/x.txt 192.0.2.8 1998 text/plain 5\nplain\n",
+    2: b"filedesc://old.arc 0.0.0.0 20010101000000 text/plain 200 - - 0 old.arc %d\n%shttp://h/a b.html 192.0.2.7 19970102030405 text/html; charset=utf-8 200 abc - 90 old.arc %d\n%s\nhttp://h/x.txt - 1998 text/plain 200 - - 300 old.arc 5\nplain\n",
+}
+
+
+@pytest.mark.parametrize("version,zipped", [(1, False), (2, False), (1, True)])
+def test_legacy_archives(spark, version, zipped):
+    """Blanks in URL and type, a record that is no HTTP response, gzip."""
+    import gzip
+
+    about = b"%d 0 somebody\n" % version + A.ARC_FIELDS[version] + b"\n"
+    body = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hello</p>"
+    content = LEGACY[version] % (len(about), about, len(body), body)
+    page, plain = A.read_arc(gzip.compress(content) if zipped else content)
+    assert (page["url"], page["type"], page["ip"], page["body"]) == ("http://h/a b.html", "text/html; charset=utf-8", "192.0.2.7", body)
+    assert (plain["url"], plain["type"], plain["body"]) == ("http://h/x.txt", "text/plain", b"plain")
+    warc = A.arc_to_warc(spark.createDataFrame([("old.arc", content)], "archive string, content binary")).first()
+    kinds = [(f["warc-type"], f["content-type"], b) for f, b in A.read_warc(bytes(warc["content"]))][1:]
+    assert kinds == [("response", "application/http; msgtype=response", body), ("resource", "text/plain", b"plain")]
+    rows = A.read_archives(spark.createDataFrame([tuple(warc)], "archive string, content binary")).collect()
+    assert sorted((r.record_type, r.payload_bytes) for r in rows) == [("resource", 5), ("response", 12)]
+    with pytest.raises(ValueError):
+        list(A.read_arc(content.replace(b" 19970102030405 ", b" never ")))
+
+
+def test_archives_of_empty_and_equal_pages(spark):
+    """Empty pages fill archives too; equal rows in several partitions have archives, records and types of their own."""
+    empty_pages = spark.range(5000).select(F.lit(None).cast("long").alias("page_id"), F.lit("u").alias("url"), F.lit(None).cast("string").alias("html")).coalesce(1)
+    sizes = [len(r.content) for r in A.pages_to_arc(empty_pages, archive_bytes=100_000).collect()]
+    assert len(sizes) > 5 and max(sizes) < 120_000
+    page = "x" * 200
+    many = spark.createDataFrame([(1, "u", page)] * 4 + [(2, "u", page)] * 3, "page_id long, url string, html string").repartition(3)
+    out = A.read_archives(A.arc_to_warc(A.pages_to_arc(many))).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in out) == {(1, "response", None): 4, (2, "revisit", 1): 3}
+    assert len({r.record_id for r in out}) == 7 and {r.refers_to_id for r in out if r.page_id == 2} <= {r.record_id for r in out if r.page_id == 1}
+
+
 def test_fit_in_task(spark):
     rows = spark.createDataFrame([(k % 7, f"t{k}") for k in range(50)], "k int, t string").repartition(6)
     fitted = fit_in_task(rows, ["k", "t"], lambda table: (table["k"].to_pylist(), table["t"].to_pylist()))
@@ -281,6 +443,16 @@ def test_rule_ensemble(spark, docs, empty):
     assert all(r.quality_score > 0.9 for r in score_quality(docs, fit_quality(table, labels.withColumn("quality", F.lit(1)))).collect())
 
 
+def test_labelled_sample_is_bounded(spark):
+    from offsetlake.llm.rule_ensemble import labelled_sample
+
+    many = spark.range(4000).select((F.col("id") % 40).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 80).cast("string")).alias("text"))
+    labels = spark.range(200).select((F.col("id") % 40).alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    for most in (1, 10, 1000):
+        sample = labelled_sample(many, labels, ["quality"], most).collect()
+        assert len(sample) <= 2 * most and len({r.doc_id for r in sample}) == len(sample) and (most < 1000 or len(sample) > 20)
+
+
 def test_mixing(spark, docs, empty):
     table, labels = labelled(spark)
     out = mix(table, labels, {"clean": 1.0}).join(labels, "doc_id").collect()
