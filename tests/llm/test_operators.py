@@ -488,6 +488,28 @@ def test_token_counts(docs, empty):
     assert count_tokens(empty, pieces).count() == 0
 
 
+def test_trie_against_scalar_and_tokenizer(spark):
+    """The level-wise trie gives the scalar forward pass's counts, long words too; Zipf's scores come near the tokenizer whose pieces they are."""
+    import sentencepiece
+
+    from offsetlake.llm.queries import PIECES
+    from offsetlake.llm.token_counts import TRIE_CHARS, load_pieces
+
+    pieces = load_pieces(PIECES)
+    assert abs(sum(np.exp(list(pieces.values()))) - 1) < 1e-6
+    trie, model = Trie(pieces), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text]
+    seen = sorted({w for t in texts for w in t.split()})
+    odd = ["\U0001f600a" * 5, "é" * 200, "x" * (TRIE_CHARS - 1), "x" * TRIE_CHARS, "x" * 1000, "\u4f60\u597d", "a\0b", ""]
+    got = trie.counts([MARK + w for w in seen + odd])
+    assert got.tolist() == [trie.long(MARK + w) for w in seen + odd]
+    assert got.tolist() == np.concatenate([trie.counts([MARK + w for w in (seen + odd)[k::3]]) for k in range(3)])[np.argsort(np.concatenate([np.arange(len(got))[k::3] for k in range(3)]))].tolist()
+    own = np.array([len(model.encode(w)) for w in seen])
+    assert abs(got[: len(seen)].sum() / own.sum() - 1) < 0.05 and (got[: len(seen)] == own).mean() > 0.75
+    one = spark.createDataFrame([(1, "x" * 3_000_000)], "doc_id long, text string")
+    assert count_tokens(one, pieces).first().n_tokens == trie.long(MARK + "x" * 3_000_000)
+
+
 def test_rates_reach_their_targets(spark):
     """Softer and softer posteriors: totals within the tolerance where rates can reach the targets, else a stationary point; both are reported."""
     rng = np.random.default_rng(4)
