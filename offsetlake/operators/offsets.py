@@ -1,7 +1,8 @@
 """Offset algebra: contiguous progress, gaps and lag of partitioned logs.
 
 Tables are keyed by (topic, part). `done` has one row a completed offset (off); `state` one row a partition with committed and fetched, both inclusive.
-Every operator is a window or an aggregate by partition; no offset set is ever collected into one row but for the codec.
+Every operator is an aggregate by partition or a window inside ranges of offsets (see ranges); no offset set is ever collected into one row but
+for the codec.
 """
 
 from __future__ import annotations
@@ -9,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from offsetlake.operators.ranges import previous, run_end
+
 TP = ["topic", "part"]
+PIECE = 10_000  # offsets of a gap that one array holds at most
 
 
 def open_completions(done: DataFrame, state: DataFrame) -> DataFrame:
@@ -19,9 +23,8 @@ def open_completions(done: DataFrame, state: DataFrame) -> DataFrame:
 
 def high_water_mark(done: DataFrame, state: DataFrame, in_flight: DataFrame | None = None) -> DataFrame:
     """topic, part, hwm: the end of the run of completed offsets that starts at committed + 1, held below the smallest in-flight offset."""
-    rank = F.row_number().over(Window.partitionBy(*TP).orderBy("off"))
-    run = open_completions(done, state).withColumn("rn", rank).where(F.col("off") - F.col("rn") == F.col("committed")).groupBy(*TP).agg(F.max("off").alias("top"))
-    out = state.select(*TP, "committed").join(run, TP, "left").withColumn("hwm", F.coalesce("top", "committed"))
+    run = run_end(open_completions(done, state).withColumn("place", F.col("off") - F.col("committed") - 1), TP, "place")
+    out = state.select(*TP, "committed").join(run, TP, "left").withColumn("hwm", F.col("committed") + F.coalesce("run", F.lit(0)))
     if in_flight is not None:
         out = out.join(in_flight.groupBy(*TP).agg(F.min("off").alias("low")), TP, "left")
         out = out.withColumn("hwm", F.when(F.col("low") <= F.col("hwm"), F.col("low") - 1).otherwise(F.col("hwm")))
@@ -32,8 +35,7 @@ def gaps(done: DataFrame, state: DataFrame) -> DataFrame:
     """topic, part, gap_start, gap_end: maximal runs of incomplete offsets in (committed, fetched]."""
     inside = open_completions(done, state).join(state.select(*TP, "fetched"), TP).where("off <= fetched").select(*TP, "off", "committed")
     ends = inside.unionByName(state.where("fetched > committed").select(*TP, (F.col("fetched") + 1).alias("off"), "committed"))
-    before = F.coalesce(F.lag("off").over(Window.partitionBy(*TP).orderBy("off")), F.col("committed"))
-    return ends.withColumn("before", before).where("off > before + 1").select(*TP, (F.col("before") + 1).alias("gap_start"), (F.col("off") - 1).alias("gap_end"))
+    return previous(ends, TP, "off", "near").withColumn("before", F.coalesce("near", "committed")).where("off > before + 1").select(*TP, (F.col("before") + 1).alias("gap_start"), (F.col("off") - 1).alias("gap_end"))
 
 
 def blocking_offsets(done: DataFrame, state: DataFrame) -> DataFrame:
@@ -48,10 +50,11 @@ def true_lag(state: DataFrame) -> DataFrame:
 
 
 def in_flight(done: DataFrame, state: DataFrame) -> DataFrame:
-    """topic, part, off: symmetric difference of the completed offsets and (committed, fetched]."""
-    span = state.where("fetched > committed").select(*TP, F.explode(F.sequence(F.col("committed") + 1, F.col("fetched"))).alias("off"))
-    d = open_completions(done, state).select(*TP, "off").withColumn("d", F.lit(1))
-    return span.withColumn("s", F.lit(1)).join(d, [*TP, "off"], "full_outer").where("s IS NULL OR d IS NULL").select(*TP, "off")
+    """topic, part, off: symmetric difference of the completed offsets and (committed, fetched]: the offsets of the gaps, and those completed beyond fetched."""
+    start, piece = F.col("gap_start") + F.col("p") * PIECE, gaps(done, state).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("gap_end") - F.col("gap_start")) / PIECE).cast("long"))))
+    inside = piece.select(*TP, F.explode(F.sequence(start, F.least(start + PIECE - 1, F.col("gap_end")))).alias("off"))
+    beyond = open_completions(done, state).join(state.select(*TP, "fetched"), TP).where(F.col("off") > F.col("fetched")).select(*TP, "off")
+    return inside.unionByName(beyond)
 
 
 def commit_candidates(done: DataFrame, state: DataFrame, flying: DataFrame | None = None) -> DataFrame:
@@ -65,7 +68,10 @@ def commit_through(done: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def commit_payload(done: DataFrame, marks: DataFrame, limit: int | None = 2048) -> DataFrame:
-    """topic, part, next_offset and the lowest `limit` completed offsets from there, one a row (off); None for all, as on revocation."""
+    """topic, part, next_offset and the lowest `limit` completed offsets from there, one a row (off); None for all, as on revocation.
+
+    Every task keeps its `limit` lowest offsets of a partition before they are shuffled (a window group limit), so no partition is one task's.
+    """
     kept = commit_through(done, marks).join(marks.select(*TP, (F.col("hwm") + 1).alias("next_offset")), TP)
     if limit is not None:
         kept = kept.withColumn("rn", F.row_number().over(Window.partitionBy(*TP).orderBy("off"))).where(F.col("rn") <= limit)

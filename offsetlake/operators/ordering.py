@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offsetlake.operators.ranges import ranked
+
 TP = ["topic", "part"]
 
 
@@ -25,13 +27,31 @@ def route_key(mode: str) -> Column:
 
 def queue_ranks(records: DataFrame, mode: str) -> DataFrame:
     """All columns, then route and queue_pos: the place in the FIFO of (topic, part, route), from 0."""
-    routed = records.withColumn("route", route_key(mode))
-    return routed.withColumn("queue_pos", (F.row_number().over(Window.partitionBy(*TP, "route").orderBy("off")) - 1).cast("long"))
+    return ranked(records.withColumn("route", route_key(mode)), [*TP, "route"], "off", "queue_pos")
+
+
+def grouped_batches(records: DataFrame, mode: str, size: int = 1000) -> DataFrame:
+    """topic, part, route, batch, offsets: the offsets of each queue in arrival order, in batches of `size`."""
+    placed = queue_ranks(records, mode).withColumn("batch", F.floor(F.col("queue_pos") / size).cast("long"))
+    return placed.groupBy(*TP, "route", "batch").agg(F.array_sort(F.collect_list("off")).alias("offsets"))
+
+
+def round_robin(heads: DataFrame, flying: DataFrame, mode: str, rounds: DataFrame) -> DataFrame:
+    """The order in which runnable queues are picked, one item each in turn: heads (topic, part, route, activated) by activation, the eligible only.
+
+    rounds: topic, part, route, queue_pos of the queued items. Returns them with `turn`: all first items in the order of activation, then all second ones.
+    """
+    runnable = eligible(heads, flying, mode).select(*[F.col(c).alias(f"h_{c}") for c in (*TP, "route")], "activated")
+    same = (F.col("topic") == F.col("h_topic")) & (F.col("part") == F.col("h_part")) & F.col("route").eqNullSafe(F.col("h_route"))
+    turns = rounds.join(runnable, same).select(*TP, "route", "queue_pos", "activated")
+    before = turns.groupBy("queue_pos").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("queue_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("queue_pos").orderBy("activated", *TP, "route")) - 1
+    return turns.withColumn("inside", inside).join(before, "queue_pos").select(*TP, "route", "queue_pos", (F.col("base") + F.col("inside")).alias("turn"))
 
 
-def grouped_batches(records: DataFrame, mode: str) -> DataFrame:
-    """topic, part, route, offsets: the offsets of each queue in arrival order."""
-    return records.withColumn("route", route_key(mode)).groupBy(*TP, "route").agg(F.array_sort(F.collect_list("off")).alias("offsets"))
+def in_flight_counts(flying: DataFrame) -> DataFrame:
+    """topic, part, in_flight; a row with null topic and part has the total."""
+    return flying.rollup("topic", "part").agg(F.count("*").alias("in_flight"), F.grouping_id().alias("g")).where("g <> 1").select(*TP, "in_flight")
 
 
 def queue_sizes(records: DataFrame, mode: str) -> DataFrame:

@@ -6,9 +6,11 @@ still unfinished, errors are terminal failures, every 200th error has a dead let
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offsetlake.operators.ranges import ranked
+
 PARTITIONS = 8
 MAX_RETRIES = 3
 
@@ -32,8 +34,7 @@ def micros(ts: str) -> Column:
 def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """topic, part, off, k, v, ts, event_type, latency_ms, event_id."""
     part = (F.col("user_id") % PARTITIONS).cast("int")
-    off = (F.row_number().over(Window.partitionBy("part").orderBy("event_id")) - 1).cast("long")
-    log = table(spark, sf_dir, "events").withColumn("part", part).withColumn("off", off)
+    log = ranked(table(spark, sf_dir, "events").withColumn("part", part), ["part"], "event_id", "off")
     return log.select(F.lit("events").alias("topic"), "part", "off", F.col("user_id").cast("string").alias("k"), F.col("props").alias("v"), "ts", "event_type", F.col("value").alias("latency_ms"), "event_id")
 
 
@@ -69,8 +70,7 @@ comp AS (SELECT topic, part, off, k, v, ts, CAST(CASE WHEN event_id % 97 = 0 THE
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completions of benchmark runs, one for each event type: run, seq (from 0, in event order), ts seconds, latency ms."""
-    seq = (F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).cast("long")
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), seq.alias("seq"), micros("ts").alias("us"), F.col("value").alias("latency_ms"), "event_id")
+    return ranked(table(spark, sf_dir, "events"), ["event_type"], "event_id", "seq").select(F.col("event_type").alias("run"), "seq", micros("ts").alias("us"), F.col("value").alias("latency_ms"), "event_id")
 
 
 RUNS_SQL = "runs AS (SELECT event_type AS run, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS seq, epoch_us(ts) AS us, value AS latency_ms, event_id FROM events)"

@@ -62,3 +62,33 @@ def test_generation_grows(spark):
     done = spark.createDataFrame([("t", 0, 9)], T + "off long")
     got = {r.part: (r.start, r.committed, r.fetched, r.generation) for r in O.build_assignments(parts, comm, done).collect()}
     assert got == {0: (5, 4, 9, 2), 1: (0, -1, -1, 5)}
+
+
+def test_ranges_against_folds(spark, monkeypatch):
+    """Ranges of a few offsets: the same marks, gaps, offsets in flight and ranks as by plain folds, null keys included."""
+    from offsetlake.operators import ranges
+
+    rng = random.Random(8)
+    for size in (1, 3, 10):
+        for run in (0, 1, 4, 9, 30):
+            committed = rng.randrange(-1, 6)
+            done = {committed + 1 + k for k in range(run)} | {committed + run + 2 + rng.randrange(40) for _ in range(12)}
+            frame, state = frames(spark, committed, committed + 35, done)
+            place = frame.withColumn("place", F.col("off") - committed - 1)
+            found = ranges.run_end(place, O.TP, "place", size).collect()
+            assert [r.run for r in found] == ([run] if run else [])
+        near = ranges.previous(frame.distinct(), O.TP, "off", "before", size).orderBy("off").collect()
+        assert [r.before for r in near] == [None, *sorted(done)[:-1]]
+        flying = sorted(r.off for r in O.in_flight(frame, state).collect())
+        assert flying == sorted(set(range(committed + 1, committed + 36)) ^ done)
+        rows = [(rng.choice(["a", "b", None]), o) for o in rng.sample(range(200), 60)]
+        ranked = ranges.ranked(spark.createDataFrame(rows, "k string, off long"), ["k"], "off", "rank", size).collect()
+        assert sorted((str(r.k), r.off, r["rank"]) for r in ranked) == sorted((str(k), o, sum(p < o for j, p in rows if j == k)) for k, o in rows)
+    plan = O.high_water_mark(frame, state)._jdf.queryExecution().optimizedPlan().toString() + O.gaps(frame, state)._jdf.queryExecution().optimizedPlan().toString()
+    assert "range_" in plan
+
+
+def test_in_flight_of_wide_gaps(spark):
+    frame, state = frames(spark, -1, 25_000, {3, 30_000})
+    assert O.in_flight(frame, state).count() == 25_001 - 1 + 1
+    assert O.in_flight(*frames(spark, 9, 4, {10, 12})).count() == 2
