@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Longest metadata, the sentinel of a set that does not fit, and the marks of the two codes.
 MAX_METADATA = 4000
 OVERFLOW, RUNS, BITS = "O", "R", "B"
+MAX_DECODED = 1 << 20  # offsets that a decoded text may stand for: a short text can name runs of any width
 
 
 def run_lengths(offsets: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,12 +42,13 @@ def encode(offsets: DataFrame, keys: list[str], base: str = "base", max_size: in
 
 
 def decode(metadata: Column) -> Column:
-    """Sorted array of offsets; anything malformed gives an empty array and never an error."""
+    """Sorted array of offsets; anything malformed, or of more than MAX_DECODED offsets, gives an empty array and never an error."""
     none = F.array().cast("array<bigint>")
     body = F.substring(metadata, 2, 1 << 20)
     runs_ok = body.rlike(r"\A[0-9]{1,18}(-[0-9]{1,18})?(,[0-9]{1,18}(-[0-9]{1,18})?)*\z")
     ends = F.transform(F.split(body, ","), lambda p: F.struct(F.split(p, "-")[0].cast("bigint").alias("a"), F.element_at(F.split(p, "-"), -1).cast("bigint").alias("b")))
-    runs = F.flatten(F.transform(F.filter(ends, lambda e: e.a <= e.b), lambda e: F.sequence(e.a, e.b)))
+    held = F.aggregate(ends, F.lit(0.0), lambda n, e: n + F.when(e.a <= e.b, (e.b - e.a).cast("double") + 1).otherwise(0.0))
+    runs = F.flatten(F.transform(F.filter(ends, lambda e: (e.a <= e.b) & (held <= MAX_DECODED)), lambda e: F.sequence(e.a, e.b)))
     bits_ok = body.rlike(r"\A[0-9]{1,18}:([0-9a-fA-F]{2})*\z")
     start = F.split(body, ":")[0].cast("bigint")
     pairs = F.regexp_extract_all(F.split(body, ":")[1], F.lit("(..)"), F.lit(1))

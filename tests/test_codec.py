@@ -29,3 +29,10 @@ def test_decode(spark):
     rows = ["R0-3", "R0,5,10", "B10:2b", "O", "X10:110101", "Rbad-range", "Bnotint:zz", "", "R", None]
     got = spark.createDataFrame([(i, m) for i, m in enumerate(rows)], "i int, m string").select("i", C.decode(F.col("m")).alias("d")).orderBy("i").collect()
     assert [r.d for r in got] == [[0, 1, 2, 3], [0, 5, 10], [10, 11, 13, 15], [], [], [], [], [], [], []]
+
+
+def test_decode_fails_closed_on_wide_runs(spark):
+    rows = ["R1-999999999999999999", "R0-3000000000", "R0-1048576", "R0-600000,700000-1300000", "R5-1", "R0-9,3-4", "R0-999999999999999999,1-2"]
+    got = spark.createDataFrame([(i, m) for i, m in enumerate(rows)], "i int, m string").select("i", C.decode(F.col("m")).alias("d")).orderBy("i").collect()
+    assert [r.d for r in got] == [[], [], [], [], [], list(range(10)), []]
+    assert spark.createDataFrame([("R0-1048575",)], "m string").select(F.size(C.decode(F.col("m"))).alias("n")).first().n == 1 << 20
