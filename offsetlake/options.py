@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 SECRETS = ("password", "secret", "key.pem", "sasl.jaas.config")
 
@@ -57,9 +58,14 @@ class LogOptions:
         parts = self.servers.split(",") if isinstance(self.servers, str) else self.servers
         return ",".join(p.strip() for p in parts if p.strip())
 
-    def source(self) -> dict[str, str]:
-        """Options of Spark's Kafka source."""
-        start = {"earliest": "earliest", "latest": "latest", "none": "earliest"}[self.start]
+    def source(self, committed: dict[int, int] | None = None) -> dict[str, str]:
+        """Options of Spark's Kafka source. committed: the next offset of each partition; where there is none, `start` says where to begin.
+
+        Start none means that a partition without a commit is an error.
+        """
+        if self.start == "none" and not committed:
+            raise ValueError(f"no committed offsets of {self.topic!r}, and start is none")
+        start = json.dumps({self.topic: {str(p): o for p, o in sorted(committed.items())}}) if committed else self.start
         out = {"kafka.bootstrap.servers": self.bootstrap, "subscribe": self.topic, "startingOffsets": start, "failOnDataLoss": str(self.start == "none").lower(), "maxOffsetsPerTrigger": str(self.poll_batch_size)}
         return out | {f"kafka.{k.replace('_', '.')}": v for k, v in self.security.items() if v}
 
@@ -69,4 +75,4 @@ class LogOptions:
 
     def public(self) -> dict[str, str]:
         """The source options without secrets."""
-        return {k: v for k, v in self.source().items() if not any(s in k for s in SECRETS)}
+        return {k: v for k, v in replace(self, start="earliest").source().items() if not any(s in k for s in SECRETS)}

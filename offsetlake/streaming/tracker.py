@@ -42,10 +42,25 @@ def track(completions: DataFrame, start: int = -1) -> DataFrame:
 
 
 def commit_sink(path: str):
-    """foreachBatch writer of commits: each batch overwrites its own folder, so a batch that runs again leaves one copy."""
+    """foreachBatch writer of commits (topic, part, committed). Each batch writes the latest commit of every partition to its own folder.
+
+    A batch that runs again starts from the batches before it and leaves one copy. A commit never goes back. Folders older than the batch before are
+    deleted, so there are two, each of one row a partition of the log.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("next_offset", F.col("committed") + 1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs
+        root = files.Path(path)
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        there = sorted(int(f.getPath().getName()[6:]) for f in fs.listStatus(root) if f.getPath().getName().startswith("batch=")) if fs.exists(root) else []
+        earlier = [b for b in there if b < batch_id]
+        now = batch.select("topic", "part", (F.col("committed") + 1).alias("next_offset"))
+        if earlier:
+            now = now.unionByName(spark.read.parquet(f"{path}/batch={earlier[-1]}").select("topic", "part", "next_offset"))
+        now.groupBy("topic", "part").agg(F.max("next_offset").alias("next_offset")).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        for b in earlier[:-1]:
+            fs.delete(files.Path(f"{path}/batch={b}"), True)
 
     return write
 

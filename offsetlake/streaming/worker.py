@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import asyncio
 import inspect
+import signal
 import time
+from contextlib import contextmanager
 from collections.abc import Awaitable, Callable, Iterator
 
 import pandas as pd
@@ -22,13 +24,36 @@ def _wait(attempt: int, o: ExecutionOptions) -> float:
     return ms / 1000
 
 
+class TaskTimeout(Exception):
+    """A worker took longer than task_timeout_ms."""
+
+
+@contextmanager
+def _limit(seconds: float):
+    """Raise TaskTimeout in the main thread of the Python worker after so many seconds."""
+
+    def ring(signum, frame):
+        raise TaskTimeout(f"task_timeout after {seconds:g}s")
+
+    before = signal.signal(signal.SIGALRM, ring)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def _routed(records: DataFrame, ordering: str) -> DataFrame:
     keys = {"key_hash": ["topic", "part", "k"], "partition": ["topic", "part"], "unordered": []}[ordering]
     return records.repartition(*keys).sortWithinPartitions(*keys, "off") if keys else records
 
 
 def run_sync(records: DataFrame, worker: Callable[[object], object], ordering: str = "key_hash", options: ExecutionOptions | None = None) -> DataFrame:
-    """Completion events of a synchronous worker: it gets each row (topic, part, off, k, v ...); an exception is a failure and is tried again."""
+    """Completion events of a synchronous worker: it gets each row (topic, part, off, k, v ...); an exception is a failure and is tried again.
+
+    A call that takes longer than task_timeout_ms is stopped; a timeout is final, with the attempt at which it happened.
+    """
     if not callable(worker) or inspect.iscoroutinefunction(worker):
         raise TypeError("a synchronous worker must be a plain function")
     cloudpickle.dumps(worker)
@@ -42,8 +67,12 @@ def run_sync(records: DataFrame, worker: Callable[[object], object], ordering: s
                 while status == "failure" and attempt < o.max_retries:
                     attempt += 1
                     try:
-                        worker(row)
+                        with _limit(o.task_timeout_ms / 1000):
+                            worker(row)
                         status, error = "success", None
+                    except TaskTimeout as e:
+                        error = str(e)
+                        break
                     except Exception as e:  # the worker's failure is data
                         error = str(e)
                         if attempt < o.max_retries:

@@ -57,6 +57,28 @@ def test_workers(spark):
         run_sync(records, later)
 
 
+def test_a_timeout_is_final(spark):
+    import time
+
+    records = spark.createDataFrame([("t", 0, i, "k", "v") for i in range(3)], "topic string, part int, off long, k string, v string").coalesce(1)
+
+    def slow(row):
+        if row.off == 1:
+            time.sleep(30)
+
+    out = {r.off: (r.status, r.error, r.attempt) for r in run_sync(records, slow, "partition", ExecutionOptions(max_retries=3, retry_backoff_ms=0, task_timeout_ms=200)).collect()}
+    assert out[0][0] == out[2][0] == "success" and out[1] == ("failure", "task_timeout after 0.2s", 1)
+
+
+def test_commits_keep_the_latest_state(spark, tmp_path):
+    write, path = commit_sink(str(tmp_path / "c")), str(tmp_path / "c")
+    for batch, rows in enumerate([[("t", 0, 4), ("t", 1, 9)], [("t", 0, 7)], [("t", 1, 3), ("t", 2, 0)]]):
+        for _ in range(2):  # a batch may run again
+            write(spark.createDataFrame(rows, "topic string, part int, committed long"), batch)
+    assert {r.part: r.next_offset for r in committed_offsets(spark, path).collect()} == {0: 8, 1: 10, 2: 1}
+    assert len([f for f in (tmp_path / "c").iterdir() if f.name.startswith("batch=")]) == 2
+
+
 def test_artifacts(spark, tmp_path):
     rows = [("a", "async", "sleep", "key_hash", 0, 10, 5.0, 1.0, 0, 0, [(1.0, 2, 1)]), ("b", "process", "io", "partition", 1, 20, 6.0, 2.0, 0, 0, None)]
     results = spark.createDataFrame(rows, "run string, mode string, workload string, ordering string, seq long, messages long, tps double, p99_ms double, final_lag long, final_gaps long, observations array<struct<elapsed_sec: double, lag: long, gap_count: long>>")
@@ -67,7 +89,10 @@ def test_artifacts(spark, tmp_path):
 
 def test_options():
     o = LogOptions("t", "a:1, b:2", start="none", security={"sasl_password": "x", "security_protocol": "SSL"})
-    assert o.bootstrap == "a:1,b:2" and o.source()["kafka.sasl.password"] == "x" and "kafka.sasl.password" not in o.public()
+    assert o.bootstrap == "a:1,b:2" and o.source({0: 7, 1: 0})["kafka.sasl.password"] == "x" and "kafka.sasl.password" not in o.public()
+    assert o.source({1: 0, 0: 7})["startingOffsets"] == '{"t": {"0": 7, "1": 0}}' and LogOptions("t").source()["startingOffsets"] == "earliest"
+    with pytest.raises(ValueError):
+        o.source()
     for bad in ({"topic": "a b"}, {"topic": "t", "ordering": "x"}, {"topic": "t\n"}):
         with pytest.raises(ValueError):
             LogOptions(**bad)
