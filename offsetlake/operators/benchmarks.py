@@ -97,8 +97,38 @@ def release_gate(results: DataFrame, messages: int = 10000, repetitions: int = 2
     return out.select(*keys, F.coalesce("artifacts", F.lit(0)).cast("long").alias("artifacts"), "reason", F.when(F.col("reason") == "ok", "PASS").otherwise("FAIL").alias("status"))
 
 
-def gate_verdict(checks: DataFrame) -> DataFrame:
-    return checks.agg(F.when(F.bool_or(F.col("status") == "FAIL"), "NO-GO").otherwise("PASS").alias("verdict"), F.count_if(F.col("status") == "FAIL").alias("failed"))
+def measurement_conditions(options: DataFrame, messages: int = 10000, partitions: int = 8) -> DataFrame:
+    """A row for each artifact's options that break a condition: artifact, reason, status FAIL. Options: num_messages, num_partitions, strict (array), profile, py_spy.
+
+    A missing number or strict list breaks its condition; a missing profiling flag means off.
+    """
+    broken = F.array(
+        F.when(~F.col("num_messages").eqNullSafe(F.lit(messages)), "num_messages"), F.when(~F.col("num_partitions").eqNullSafe(F.lit(partitions)), "num_partitions"),
+        F.when(~F.col("strict").eqNullSafe(F.array(F.lit("on"))), "strict"), F.when(F.coalesce("profile", F.lit(False)) | F.coalesce("py_spy", F.lit(False)), "profiling"),
+    )
+    return options.select("artifact", F.explode(F.filter(broken, lambda r: r.isNotNull())).alias("reason"), F.lit("FAIL").alias("status"))
+
+
+def persistent_gaps(observations: DataFrame, order: str = "seq", limit_s: float = 60.0) -> DataFrame:
+    """Artifacts (artifact, run, seq, elapsed_sec, gap_count) with a gap open for more than limit_s: artifact, reason, status FAIL.
+
+    The time starts anew at a gap count of 0 and wherever the run's name changes from one observation to the next.
+    """
+    along = Window.partitionBy("artifact").orderBy(order)
+    turn = F.when((F.col("gap_count") > 0) & F.lag("run").over(along).eqNullSafe(F.col("run")), 0).otherwise(1)
+    # a stretch starts at a turn; one that starts with an open gap counts from there
+    runs = observations.withColumn("turn", turn).withColumn("stretch", F.sum("turn").over(along)).where(F.col("gap_count") > 0)
+    first = F.min(F.when(F.col("gap_count") > 0, F.col("elapsed_sec")))
+    held = runs.groupBy("artifact", "stretch").agg((F.max("elapsed_sec") - first).alias("t")).groupBy("artifact").agg(F.max("t").alias("t"))
+    return held.where(F.col("t") > limit_s).select("artifact", F.lit("persistent_gap").alias("reason"), F.lit("FAIL").alias("status"))
+
+
+def gate_verdict(*checks: DataFrame) -> DataFrame:
+    """NO-GO if any row of any of the checks (thresholds, conditions, persistent gaps) fails, and how many do."""
+    every = checks[0].select("status")
+    for c in checks[1:]:
+        every = every.unionByName(c.select("status"))
+    return every.agg(F.when(F.coalesce(F.bool_or(F.col("status") == "FAIL"), F.lit(False)), "NO-GO").otherwise("PASS").alias("verdict"), F.count_if(F.col("status") == "FAIL").alias("failed"))
 
 
 def longest_gap(observations: DataFrame, keys: list[str], order: str, seconds: str, gaps: str) -> DataFrame:
@@ -154,3 +184,30 @@ def merge_observations(results: DataFrame) -> DataFrame:
 def human(value: Column, digits: int = 2) -> Column:
     """Thousands separators and fixed digits; n/a for null."""
     return F.coalesce(F.format_number(value, digits), F.lit("n/a"))
+
+
+def signed(value: Column, digits: int = 2, suffix: str = "") -> Column:
+    """A number with its sign, halves rounded to even; n/a for null."""
+    text = F.concat(F.when(value >= 0, "+").otherwise(""), F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits)), F.lit(suffix))
+    return F.when(value.isNotNull(), text).otherwise("n/a")
+
+
+def times(value: Column) -> Column:
+    """A ratio as 1.25x; n/a for null."""
+    return F.when(value.isNotNull(), F.concat(F.format_string("%.2f", F.bround(value.cast("double"), 2)), F.lit("x"))).otherwise("n/a")
+
+
+def auto_batching(options: DataFrame) -> DataFrame:
+    """Adds effective_size and effective_wait_ms: 1 and 0 for strict process runs of short sleeps by partition without batch options of their own."""
+    tuned = ~F.coalesce("skip_process", F.lit(False)) & F.array_contains("workloads", "sleep") & F.array_contains("orderings", "partition") & F.array_contains("strict", "on") & (F.col("sleep_ms") <= 0.5)
+    for c in ("batch_size", "max_wait_ms", "flush_policy", "min_residence_ms"):
+        tuned = tuned & F.col(c).isNull()
+    tuned = F.coalesce(tuned, F.lit(False))
+    return options.withColumn("effective_size", F.when(tuned, 1).otherwise(F.col("batch_size"))).withColumn("effective_wait_ms", F.when(tuned, 0).otherwise(F.col("max_wait_ms")))
+
+
+def whole_number(json: Column, *paths: str) -> Column:
+    """The first of the JSON paths that holds a whole number; true, false, fractions and texts are none."""
+    found = [F.get_json_object(json, p) for p in paths]
+    kinds = [F.try_variant_get(F.try_parse_json(json), p, "variant") for p in paths]
+    return F.coalesce(*[F.when(F.schema_of_variant(k) == "BIGINT", f.try_cast("bigint")) for f, k in zip(found, kinds, strict=True)])

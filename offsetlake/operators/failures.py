@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offsetlake.operators.ranges import range_of
+
 TP = ["topic", "part"]
 
 
@@ -64,14 +66,63 @@ def as_kafka(letters: DataFrame) -> DataFrame:
     return letters.select(F.col("dlq_topic").alias("topic"), F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), headers.alias("headers"))
 
 
-def cache_survivors(entries: DataFrame, budget: int, order: str = "seq") -> DataFrame:
+def cache_survivors(entries: DataFrame, budget: int, order: str = "seq", scope: tuple[str, ...] = ()) -> DataFrame:
     """Payload entries that a FIFO cache of `budget` bytes still holds: those that fit at all, from the newest back while their sum fits.
 
-    The running sum is by partition of the log; one cache for each, as each consumer task has.
+    One cache holds all partitions' entries, or one for each value of the `scope` columns. `order` is a distinct whole number. Sums by ranges of it
+    tell which ranges are held as a whole, so only the one in which the budget ends is summed by rows.
+    """
+    fit = entries.where(F.col("size") <= budget).withColumn("range_", range_of(F.col(order)))
+    keys = list(scope)
+    per = fit.groupBy(*keys, "range_").agg(F.sum("size").alias("n_"))
+    after = F.coalesce(F.sum("n_").over(Window.partitionBy(*keys).orderBy(F.col("range_").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("after_", after).where(F.col("after_") <= budget).drop("n_")
+    near = F.sum("size").over(Window.partitionBy(*keys, "range_").orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return fit.join(per, [*keys, "range_"]).withColumn("behind_", near + F.col("after_")).where(F.col("behind_") <= budget).select(*entries.columns)
+
+
+def cache_without(entries: DataFrame, taken: DataFrame, revoked: DataFrame | None = None) -> DataFrame:
+    """Cached entries without the offsets that were taken out (topic, part, off) and without those of revoked partitions."""
+    left = entries.join(taken.select(*TP, "off"), [*TP, "off"], "left_anti")
+    return left if revoked is None else left.join(revoked.select(*TP), TP, "left_anti")
+
+
+def publish_order(pending: DataFrame, fresh: DataFrame, max_attempts: int) -> DataFrame:
+    """Dead letters to publish: the pending ledger (topic, part, off, publish_attempts) first, then fresh ones; `exhausted` ones are not tried again."""
+    both = pending.select(*TP, "off", F.lit(0).alias("stage"), F.col("publish_attempts").cast("int").alias("publish_attempts"))
+    both = both.unionByName(without_pending(fresh, pending).select(*TP, "off", F.lit(1).alias("stage"), F.lit(0).alias("publish_attempts")))
+    return both.withColumn("exhausted", F.col("publish_attempts") >= max_attempts)
+
+
+def completed_offsets(done: DataFrame, published: DataFrame, pending: DataFrame) -> DataFrame:
+    """Offsets that are complete once the pending ones are held back: a dead letter that is not published yet stays a gap."""
+    waiting = pending.join(published.select(*TP, "off"), [*TP, "off"], "left_anti")
+    return done.select(*TP, "off").unionByName(published.select(*TP, "off")).distinct().join(waiting.select(*TP, "off"), [*TP, "off"], "left_anti")
+
+
+def registry_state(events: DataFrame) -> DataFrame:
+    """worker, item, requeue_attempts, timed_out, attempt, timeout_error of the items in flight, from events (worker, item, seq, kind, requeue_attempts, attempt, timeout_error).
+
+    A start puts an item in with a clean state, done takes it out; a timeout marks an item that is in.
     """
-    fit = entries.where(F.col("size") <= budget)
-    behind = F.sum("size").over(Window.partitionBy(*TP).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return fit.withColumn("behind", behind).where(F.col("behind") <= budget).drop("behind")
+    keys = ["worker", "item"]
+    life = events.where(F.col("kind").isin("start", "done", "timeout"))
+    begun = life.groupBy(*keys).agg(F.max(F.when(F.col("kind") == "start", F.col("seq"))).alias("from"), F.max(F.when(F.col("kind") == "done", F.col("seq"))).alias("end"))
+    open_ = begun.where("from IS NOT NULL AND (end IS NULL OR end < from)").select(*keys, "from")
+    own = life.join(open_, keys).where(F.col("seq") >= F.col("from"))
+    late = F.when(F.col("kind") == "timeout", F.struct("seq", F.coalesce("attempt", F.lit(1)).alias("attempt"), F.coalesce("timeout_error", F.lit("task_timeout")).alias("error")))
+    out = own.groupBy(*keys).agg(F.max(F.when(F.col("kind") == "start", F.coalesce("requeue_attempts", F.lit(0)))).alias("requeue_attempts"), F.max(late).alias("late"))
+    return out.select(*keys, "requeue_attempts", F.col("late").isNotNull().alias("timed_out"), F.col("late.attempt").alias("attempt"), F.col("late.error").alias("timeout_error"))
+
+
+def recover_dead_workers(registry: DataFrame, dead: DataFrame, max_retries: int = 3) -> DataFrame:
+    """What becomes of a dead worker's items: requeue with one attempt more, or failure after a timeout (which is final) or max_retries requeues."""
+    lost = registry.join(dead.select("worker"), "worker", "left_semi")
+    spent = F.col("requeue_attempts") >= max_retries
+    action = F.when(F.col("timed_out") | spent, "failure").otherwise("requeue")
+    error = F.when(F.col("timed_out"), F.col("timeout_error")).when(spent, "worker_died_max_retries")
+    attempt = F.when(F.col("timed_out"), F.col("attempt")).when(spent, F.col("requeue_attempts")).otherwise(F.col("requeue_attempts") + 1)
+    return lost.select("worker", "item", action.alias("action"), error.alias("error"), attempt.alias("attempt"))
 
 
 def forced_failures(blocked: DataFrame, limit_s: float, max_retries: int = 3) -> DataFrame:
@@ -123,7 +174,7 @@ def poison_circuit(events: DataFrame, threshold: int = 3, cooldown: float = 30.0
         for frame in frames:
             forced, after = [], []
             for r in frame.itertuples(index=False):
-                key = (r.topic, r.part, r.poison_key)
+                key = tuple(None if pd.isna(k) else k for k in (r.topic, r.part, r.poison_key))
                 if key != now:
                     now, circuit = key, Circuit(threshold, cooldown, max_retries)
                 a, b = circuit.step(r.at, bool(r.ok), int(r.attempt))

@@ -85,7 +85,7 @@ def ordered_fold(frame: DataFrame, keys: list[str], order: list[str], start: Cal
         for f in frames:
             added = []
             for r in f.itertuples(index=False):
-                key = tuple(getattr(r, k) for k in keys)
+                key = tuple(None if pd.isna(k) else k for k in (getattr(r, k) for k in keys))  # nulls of numbers come as NaN
                 if key != now:
                     now, step = key, start()
                 added.append(step(r))
@@ -131,21 +131,26 @@ def adaptive_backpressure(samples: DataFrame, keys: list[str], ceiling: int, sta
 
 
 def latency_average(samples: DataFrame, keys: list[str], order: list[str], value: str, keep: float = 0.8) -> DataFrame:
-    """Adds average: keep * average before + (1 - keep) * value; the first value starts it."""
+    """Adds average: keep * average before + (1 - keep) * value; the first value starts it. A null value leaves the average as it is, null before any.
 
-    def start():
-        mean = None
-
-        def step(r):
-            nonlocal mean
-            x = getattr(r, value)
-            mean = x if mean is None else keep * mean + (1 - keep) * x
-            return {"average": mean}
+    A linear recurrence: each key's stretch of a batch is one array operation, and the last average goes on to the next batch.
+    """
 
-        return step
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, mean = None, float("nan")
+        for f in frames:
+            parts = []
+            for key, rows in f.groupby(keys, dropna=False, sort=False):
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                before = pd.Series([mean if key == last else float("nan")])
+                run = pd.concat([before, rows[value]]).ewm(alpha=1 - keep, adjust=False, ignore_na=True).mean().iloc[1:]
+                parts.append(run)
+                last, mean = key, float(run.iloc[-1])
+            yield f.assign(average=pd.concat(parts)) if parts else f.assign(average=0.0)
 
     frame = samples.select(*keys, *order, F.col(value).cast("double"))
-    return ordered_fold(frame, keys, order, start, f"{frame.schema.simpleString()[7:-1].replace(':', ' ')}, average double")
+    schema = f"{frame.schema.simpleString()[7:-1].replace(':', ' ')}, average double"
+    return frame.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(fold, schema).withColumn("average", F.nanvl("average", F.lit(None).cast("double")))
 
 
 def recent_rate(events: DataFrame, keys: list[str], seconds_col: str, window_s: int = 5, most: int = 256) -> DataFrame:

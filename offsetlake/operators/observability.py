@@ -83,3 +83,37 @@ def flush_metrics(flushes: DataFrame) -> DataFrame:
 def top_blocking(ages: DataFrame, k: int) -> DataFrame:
     """The k partitions that are blocked longest (a report)."""
     return ages.orderBy(F.col("age").desc(), *TP).limit(k)
+
+
+#: The decisions of the adaptive backpressure controller, and the fields of the two controllers that are shown as gauges.
+DECISIONS = ("scale_up", "scale_down", "hold", "cooldown", "disabled")
+BACKPRESSURE_FIELDS = ("configured_max_in_flight", "effective_max_in_flight", "min_in_flight", "scale_up_step", "scale_down_step", "cooldown_ms", "lag_scale_up_threshold", "low_latency_threshold_ms", "high_latency_threshold_ms", "avg_completion_latency_seconds")
+CONCURRENCY_FIELDS = ("configured_max_in_flight", "effective_max_in_flight", "min_in_flight", "scale_up_step", "scale_down_step", "cooldown_ms")
+
+
+def adaptive_gauges(snapshots: DataFrame, keys: list[str], backpressure: str = "backpressure", concurrency: str = "concurrency") -> DataFrame:
+    """keys, gauge, label, value: the gauges of both controllers, from struct columns that are null where a controller is off (0 then, decision disabled)."""
+    rows = [F.struct(F.lit(f"adaptive_backpressure_{f}").alias("gauge"), F.lit("").alias("label"), F.coalesce(F.col(f"{backpressure}.{f}").cast("double"), F.lit(0.0)).alias("value")) for f in BACKPRESSURE_FIELDS]
+    last = F.when(F.col(backpressure).isNull(), "disabled").otherwise(F.col(f"{backpressure}.last_decision"))
+    rows += [F.struct(F.lit("adaptive_backpressure_last_decision").alias("gauge"), F.lit(d).alias("label"), F.coalesce((last == d).cast("double"), F.lit(0.0)).alias("value")) for d in DECISIONS]
+    rows += [F.struct(F.lit(f"adaptive_concurrency_{f}").alias("gauge"), F.lit("").alias("label"), F.coalesce(F.col(f"{concurrency}.{f}").cast("double"), F.lit(0.0)).alias("value")) for f in CONCURRENCY_FIELDS]
+    return snapshots.select(*keys, F.explode(F.array(*rows)).alias("x")).select(*keys, "x.*")
+
+
+def diagnostics_line(metrics: DataFrame, warn_s: float = 5.0) -> DataFrame:
+    """topic, part, line, warn of partitions (topic, part, queued, gap_count, blocking, age in seconds or null)."""
+    age = F.coalesce(F.when(F.col("blocking").isNotNull(), F.format_string("%.2fs", F.col("age").cast("double"))), F.lit("n/a"))
+    age = F.when(F.col("blocking").isNull() | F.col("age").isNull(), "n/a").otherwise(age)
+    line = F.concat(F.col("topic"), F.lit("-"), F.col("part").cast("string"), F.lit(" queued="), F.col("queued").cast("string"), F.lit(" gaps="), F.col("gap_count").cast("string"), F.lit(" blocking="), F.coalesce(F.col("blocking").cast("string"), F.lit("none")), F.lit(" age="), age)
+    return metrics.select(*TP, line.alias("line"), F.coalesce(F.col("blocking").isNotNull() & (F.col("age") >= warn_s), F.lit(False)).alias("warn"))
+
+
+def exposition(samples: DataFrame, labels: list[str], metric: str = "metric", value: str = "value") -> DataFrame:
+    """One row a sample with its line in the text exposition format: name{label="value",...} number. Backslash, quote and newline are escaped."""
+
+    def escaped(c: str):
+        text = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+
+    inner = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), escaped(c), F.lit('"')) for c in labels])
+    return samples.select(F.col(metric).alias("metric"), F.concat(F.col(metric), F.lit("{"), inner, F.lit("} "), F.col(value).cast("string")).alias("line"))

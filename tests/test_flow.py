@@ -65,6 +65,37 @@ def test_cache_against_a_queue(spark):
     assert {r.seq for r in got.collect() if r["size"]} == {i for i, s in cache if s}
 
 
+def test_caches_by_scope(spark):
+    rows = [("t", i % 2, i, 10) for i in range(20)]
+    entries = spark.createDataFrame(rows, "topic string, part int, seq long, size long")
+    assert {r.seq for r in D.cache_survivors(entries, 30).collect()} == {17, 18, 19}
+    assert {r.seq for r in D.cache_survivors(entries, 30, scope=("topic", "part")).collect()} == set(range(14, 20))
+
+
+def test_null_keys_are_one_key(spark):
+    rows = [(None, i, float(i)) for i in range(4)] + [(1, i, 8.0) for i in range(3)]
+    got = L.latency_average(spark.createDataFrame(rows, "k int, t int, v double"), ["k"], ["t"], "v").orderBy("k", "t").collect()
+    assert [round(r.average, 6) for r in got] == [0.0, 0.2, 0.56, 1.048, 8.0, 8.0, 8.0]
+    calm = [(None, float(t), 64, 0, 256, False) for t in range(3)]
+    limits = L.adaptive_concurrency(spark.createDataFrame(calm, "k int, at double, in_flight long, queued long, lag long, paused boolean"), ["k"], 128, 64, up=16).orderBy("at").collect()
+    assert [r.limit_after for r in limits] == [80, 96, 112]
+    first = L.latency_average(spark.createDataFrame([(1, 0, None), (1, 1, 2.0), (1, 2, None)], "k int, t int, v double"), ["k"], ["t"], "v").orderBy("t").collect()
+    assert [r.average for r in first] == [None, 2.0, 2.0]
+
+
+def test_verdict_needs_conditions_and_gaps(spark):
+    good = spark.createDataFrame([("PASS",)], "status string")
+    options = spark.createDataFrame([("a", 10000, 8, ["on"], None, False), ("b", 10000, 8, ["on", "off"], True, None), ("c", None, 8, None, None, None)], "artifact string, num_messages long, num_partitions long, strict array<string>, profile boolean, py_spy boolean")
+    broken = B.measurement_conditions(options)
+    assert sorted((r.artifact, r.reason) for r in broken.collect()) == [("b", "profiling"), ("b", "strict"), ("c", "num_messages"), ("c", "strict")]
+    seen = [("a", 0, "x", 0.0, 1), ("a", 1, "x", 61.0, 1), ("b", 0, "x", 0.0, 1), ("b", 1, "y", 61.0, 1), ("b", 2, "y", 62.0, 0), ("b", 3, "y", 130.0, 2), ("c", 0, "x", 0.0, 1), ("c", 1, "x", 60.0, 1)]
+    held = B.persistent_gaps(spark.createDataFrame(seen, "artifact string, seq int, run string, elapsed_sec double, gap_count int"))
+    assert [r.artifact for r in held.collect()] == ["a"]
+    assert tuple(B.gate_verdict(good).first()) == ("PASS", 0)
+    assert tuple(B.gate_verdict(good, broken).first()) == ("NO-GO", 4) and tuple(B.gate_verdict(good, held).first()) == ("NO-GO", 1)
+    assert tuple(B.gate_verdict(good.limit(0)).first()) == ("PASS", 0)
+
+
 def test_window_tps(spark):
     rows = [("r", i, t * 1_000_000) for i, t in enumerate([1] * 100 + [3] * 100 + [4] * 100)]
     runs = spark.createDataFrame(rows, "run string, seq long, us long")
