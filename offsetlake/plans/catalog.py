@@ -109,9 +109,9 @@ def commit_through(spark, d):
     return O.commit_through(done, O.high_water_mark(done, state)).groupBy(*O.TP).agg(F.count("*").alias("left_over"), F.min("off").alias("first_left"))
 
 
-@query("WITH " + STATE + ", k AS (SELECT topic, part, hwm + 1 AS next_offset, off, row_number() OVER (PARTITION BY topic, part ORDER BY off) rn FROM opened JOIN mark USING (topic, part) WHERE off > hwm) SELECT topic, part, next_offset, count(*) AS kept, max(off) AS last_kept FROM k WHERE rn <= 100 GROUP BY ALL")
+@query("WITH " + STATE + ", k AS (SELECT topic, part, hwm + 1 AS next_offset, off, row_number() OVER (PARTITION BY topic, part ORDER BY off) rn FROM opened JOIN mark USING (topic, part) WHERE off > hwm) SELECT topic, part, next_offset, count(*) AS kept, max(off) AS last_kept FROM k WHERE rn <= 2048 GROUP BY ALL")
 def commit_payload(spark, d):
-    """O15 with the reference's limit of 2048. The SQL above keeps 100."""
+    """O15 with the limit of 2048 offsets."""
     log = message_log(spark, d)
     done, state = finished(log), _state(log)
     return O.commit_payload(done, O.high_water_mark(done, state)).groupBy(*O.TP, "next_offset").agg(F.count("*").alias("kept"), F.max("off").alias("last_kept"))
@@ -121,10 +121,10 @@ _PARTS = "parts AS (SELECT DISTINCT topic, part, CAST(part * 2 AS BIGINT) AS sta
 
 
 @query("WITH " + LOG_SQL + ", " + _PARTS + """, b AS (SELECT topic, part, CASE WHEN coalesce(next_offset >= 0, false) THEN next_offset ELSE start END AS start, CASE WHEN coalesce(next_offset >= 0, false) THEN next_offset - 1 WHEN start > 0 THEN start - 1 ELSE -1 END AS committed, generation + 1 AS generation FROM parts LEFT JOIN comm USING (topic, part)),
-t AS (SELECT b.topic, b.part, max(off) top FROM done JOIN b USING (topic, part) WHERE off > committed AND off < 40 GROUP BY ALL)
+t AS (SELECT b.topic, b.part, max(off) top FROM done JOIN b USING (topic, part) WHERE off > committed GROUP BY ALL)
 SELECT topic, part, start, committed, greatest(committed, coalesce(top, committed)) AS fetched, generation FROM b LEFT JOIN t USING (topic, part)""")
 def assignment_state(spark, d):
-    """Restart positions from commits and restored metadata, with a growing generation. The SQL above restores offsets below 40 only."""
+    """Restart positions from commits and restored metadata, with a growing generation."""
     log = message_log(spark, d)
     parts = log.select(*O.TP).distinct().select(*O.TP, (F.col("part") * 2).cast("long").alias("start"), F.col("part").cast("long").alias("generation"))
     comm = parts.where("part <> 5").select(*O.TP, (F.col("part") * 3 - 4).cast("long").alias("next_offset"))
@@ -150,14 +150,14 @@ def blocking_ages(spark, d):
     return O.blocking_ages(seen)
 
 
-_LEFT = ", left_over AS (SELECT o.topic, o.part, off, hwm + 1 AS base FROM opened o JOIN mark USING (topic, part) WHERE off > hwm AND off <= hwm + 400)"
+_LEFT = ", left_over AS (SELECT o.topic, o.part, off, hwm + 1 AS base FROM opened o JOIN mark USING (topic, part) WHERE off > hwm)"
 _RLE = ", isl AS (SELECT topic, part, base, off, off - row_number() OVER (PARTITION BY topic, part ORDER BY off) i FROM left_over), rr AS (SELECT topic, part, base, min(off) a, max(off) b FROM isl GROUP BY topic, part, base, i), rle AS (SELECT topic, part, base, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS rle FROM rr GROUP BY topic, part, base)"
 _BITS = """, byt AS (SELECT topic, part, base, (off - base) // 8 j, bit_or((1 << ((off - base) % 8))::INTEGER) v FROM left_over GROUP BY ALL), top AS (SELECT topic, part, base, max(j) t FROM byt GROUP BY ALL),
-dense AS (SELECT topic, part, base, unnest(range(0, t + 1)) j FROM top), bits AS (SELECT topic, part, base, base || ':' || string_agg(printf('%02x', coalesce(v, 0)), '' ORDER BY j) AS bits FROM dense LEFT JOIN byt USING (topic, part, base, j) GROUP BY topic, part, base)"""
+dense AS (SELECT topic, part, base, unnest(range(0, t + 1)) j FROM top), bits AS (SELECT topic, part, base, CASE WHEN max(j) < 4000 THEN base || ':' || string_agg(printf('%02x', coalesce(v, 0)), '' ORDER BY j) ELSE '' END AS bits FROM dense LEFT JOIN byt USING (topic, part, base, j) GROUP BY topic, part, base)"""
 
 
 def _left_over(spark, d) -> DataFrame:
-    """The whole set beyond the mark; _LEFT has its first 400 offsets only."""
+    """The whole set beyond the mark."""
     log = message_log(spark, d)
     done, state = finished(log), _state(log)
     marks = O.high_water_mark(done, state)
@@ -223,7 +223,7 @@ def next_queue(spark, d):
 
 @query("WITH " + LOG_SQL + ", h AS (SELECT topic, part, k AS route, min(off) off FROM log WHERE off >= 5 GROUP BY ALL), f AS (SELECT DISTINCT topic, part, k AS route FROM log WHERE event_id % 50 = 7 AND event_id % 4 = 1) SELECT h.* FROM h ANTI JOIN f ON h.topic = f.topic AND h.part = f.part AND h.route = f.route")
 def eligible_queues(spark, d):
-    """Heads of queues without work in flight."""
+    """Heads of queues without work in flight."""
     log = message_log(spark, d)
     heads = log.where("off >= 5").groupBy(*O.TP, F.col("k").alias("route")).agg(F.min("off").alias("off"))
     return R.eligible(heads, log.where("event_id % 50 = 7 AND event_id % 4 = 1").select(*O.TP, F.col("k").alias("route")), "key_hash")
@@ -298,11 +298,11 @@ def fresh_events(spark, d):
     return D.without_pending(done.unionByName(done), pending).select(*O.TP, "off", "status")
 
 
-@query("WITH " + LOG_SQL + ", e AS (SELECT topic, part, off, strlen(k) + strlen(v) AS size FROM log), f AS (SELECT *, sum(size) OVER (PARTITION BY topic, part ORDER BY off ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) s FROM e WHERE size <= 300) SELECT topic, part, off, size FROM f WHERE s <= 300")
+@query("WITH " + LOG_SQL + ", e AS (SELECT topic, part, off, event_id, strlen(k) + strlen(v) AS size FROM log), f AS (SELECT *, sum(size) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) s FROM e WHERE size <= 300) SELECT topic, part, off, size FROM f WHERE s <= 300")
 def dlq_cache_survivors(spark, d):
-    """What a FIFO cache of 300 bytes still holds."""
-    e = message_log(spark, d).select(*O.TP, "off", (F.octet_length("k") + F.octet_length("v")).cast("long").alias("size"))
-    return D.cache_survivors(e, 300, "off")
+    """D3: what one FIFO cache of 300 bytes, over all partitions and in order of arrival, still holds."""
+    e = message_log(spark, d).select(*O.TP, "off", (F.octet_length("k") + F.octet_length("v")).cast("long").alias("size"), "event_id")
+    return D.cache_survivors(e, 300, "event_id").drop("event_id")
 
 
 @query("WITH " + LOG_SQL + " SELECT topic, part, off, 'failure' AS status, 3 AS attempt, printf('Blocking offset %d exceeded %.3fs', off, 2.5) AS error FROM log WHERE latency_ms / 10 >= 2.5")
@@ -324,7 +324,13 @@ def _circuit_events(spark, d) -> DataFrame:
     return log.select(*O.TP, (F.col("k").cast("int") % 20).cast("string").alias("poison_key"), F.col("event_id").alias("seq"), (micros("ts") / 1e6).alias("at"), (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_id") % 7 == 0, 1).otherwise(3).alias("attempt"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT 'events' AS topic, CAST(user_id % 8 AS INTEGER) AS part, CAST(user_id % 20 AS VARCHAR) AS poison_key, event_id AS seq, epoch_us(ts) / 1e6 AS t, event_type <> 'error' AS ok, CASE WHEN event_id % 7 = 0 THEN 1 ELSE 3 END AS attempt,
+  row_number() OVER (PARTITION BY user_id % 8, user_id % 20 ORDER BY event_id) AS rn FROM events),
+f AS (SELECT DISTINCT topic, part, poison_key, 0::BIGINT AS rn, 0::BIGINT AS seq, 0::BIGINT AS failures, NULL::DOUBLE AS until, false AS forced FROM o
+  UNION ALL
+  SELECT topic, part, poison_key, rn, seq, CASE WHEN ok AND NOT fo THEN 0 WHEN fo OR attempt >= 3 THEN fl + 1 ELSE fl END, CASE WHEN ok AND NOT fo THEN NULL WHEN (fo OR attempt >= 3) AND fl + 1 >= 2 THEN t + 600 ELSE un END, fo
+  FROM (SELECT o.*, CASE WHEN f.until <= o.t THEN 0 ELSE f.failures END AS fl, CASE WHEN f.until > o.t THEN f.until END AS un, coalesce(f.until > o.t, false) AS fo FROM f JOIN o ON o.part = f.part AND o.poison_key = f.poison_key AND o.rn = f.rn + 1))
+SELECT topic, part, poison_key, seq, forced, until IS NOT NULL AS open_after FROM f WHERE rn > 0""")
 def poison_circuit(spark, d):
     """The fold of each key's circuit, with the sliding cooldown."""
     ship(spark)
@@ -348,14 +354,32 @@ def _paused(spark, d) -> DataFrame:
     return L.hysteresis(_load(spark, d), ["consumer"], "event_id", 60, 12).withColumn("lag", F.col("in_flight") * 3).withColumn("latency", F.col("value") / 1000)
 
 
-@query()
+_SAMPLES = _LOAD.replace("FROM events", ", epoch_us(ts) / 1e6 AS t, value / 1000 AS latency FROM events").replace("queued ,", "queued,") + """,
+g AS (SELECT *, CASE WHEN in_flight + queued > 60 OR queued >= 12 THEN 1 WHEN in_flight + queued < 42 AND queued <= 8 THEN 0 END AS sig FROM s),
+p AS (SELECT consumer, t, in_flight, queued, in_flight * 3 AS lag, latency, coalesce(last_value(sig IGNORE NULLS) OVER (PARTITION BY consumer ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) = 1 AS paused,
+  row_number() OVER (PARTITION BY consumer ORDER BY t, event_id) AS rn FROM g)"""
+
+
+@query("WITH RECURSIVE " + _SAMPLES + """,
+f AS (SELECT DISTINCT consumer, 0::BIGINT AS rn, 0::DOUBLE AS t, 64::BIGINT AS lim, NULL::DOUBLE AS changed FROM p
+  UNION ALL
+  SELECT consumer, rn, t, CASE WHEN held THEN lim ELSE now END, CASE WHEN held OR now = lim THEN changed ELSE t END
+  FROM (SELECT p.consumer, p.rn, p.t, f.lim, f.changed, coalesce(p.t - f.changed < 600, false) AS held, CASE WHEN paused OR in_flight + queued > lim THEN greatest(32, lim - 24) WHEN lag >= lim AND queued = 0 THEN least(128, lim + 16) ELSE lim END AS now
+        FROM f JOIN p ON p.consumer = f.consumer AND p.rn = f.rn + 1))
+SELECT consumer, t AS "at", lim AS limit_after FROM f WHERE rn > 0""")
 def adaptive_concurrency(spark, d):
     """F2, F3, F5."""
     ship(spark)
     return L.adaptive_concurrency(_paused(spark, d), ["consumer"], 128, 64, up=16, down=24, cooldown=600.0).select("consumer", "at", "limit_after")
 
 
-@query()
+@query("WITH RECURSIVE " + _SAMPLES + """,
+f AS (SELECT DISTINCT consumer, 0::BIGINT AS rn, 0::DOUBLE AS t, 60::BIGINT AS lim, NULL::DOUBLE AS changed, '' AS decision FROM p
+  UNION ALL
+  SELECT consumer, rn, t, CASE WHEN held THEN lim ELSE now END, CASE WHEN held OR now = lim THEN changed ELSE t END, CASE WHEN held THEN 'cooldown' WHEN now = lim THEN 'hold' WHEN now < lim THEN 'scale_down' ELSE 'scale_up' END
+  FROM (SELECT p.consumer, p.rn, p.t, f.lim, f.changed, coalesce(p.t - f.changed < 600, false) AS held, CASE WHEN paused OR latency >= 0.05 THEN greatest(1, lim - 16) WHEN lag >= 20 AND queued = 0 AND latency <= 0.02 THEN least(120, lim + 20) ELSE lim END AS now
+        FROM f JOIN p ON p.consumer = f.consumer AND p.rn = f.rn + 1))
+SELECT consumer, t AS "at", lim AS limit_after, decision FROM f WHERE rn > 0""")
 def adaptive_backpressure(spark, d):
     """F4, F5."""
     ship(spark)
@@ -384,7 +408,14 @@ def size_batches(spark, d):
     return L.size_batches(message_log(spark, d), ["part"], "off").groupBy("part", "batch").agg(F.count("*").alias("items"), F.min("off").alias("first_off"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id % 8 AS part, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT DISTINCT part, 0::BIGINT AS rn, 0::BIGINT AS batch, 0::BIGINT AS number, NULL::DOUBLE AS began, 0::BIGINT AS n, false AS filled FROM o
+  UNION ALL
+  SELECT part, rn, nb, nb + CASE WHEN nn >= 8 THEN 1 ELSE 0 END, CASE WHEN nn < 8 THEN nf END, nn, nn >= 8
+  FROM (SELECT o.part, o.rn, f.number + CASE WHEN o.t - f.began >= 1800 THEN 1 ELSE 0 END AS nb, CASE WHEN o.t - f.began < 1800 THEN f.began ELSE o.t END AS nf, CASE WHEN o.t - f.began < 1800 THEN f.n + 1 ELSE 1 END AS nn FROM f JOIN o ON o.part = f.part AND o.rn = f.rn + 1)),
+b AS (SELECT part, batch, count(*) AS items, bool_or(filled) AS filled, max(batch) OVER (PARTITION BY part) AS latest FROM f WHERE rn > 0 GROUP BY part, batch),
+r AS (SELECT items, CASE WHEN filled THEN 'size' WHEN batch = latest THEN 'close' ELSE 'timer' END AS reason FROM b)
+SELECT reason, count(*) AS flushes, sum(items)::BIGINT AS items, sum(items) / count(*) AS average FROM r GROUP BY reason""")
 def timed_batches(spark, d):
     """E13 with size, timer and close flushes, then M8."""
     ship(spark)
@@ -394,9 +425,9 @@ def timed_batches(spark, d):
     return M.flush_metrics(sizes)
 
 
-@query("WITH " + LOG_SQL + " SELECT off, lower(hex(unhex(sha256(unhex(sha256(v::BLOB) || hex(v::BLOB)))))) AS digest FROM log WHERE part = 1 AND off < 200")
+@query("WITH " + LOG_SQL + " SELECT topic, part, off, lower(hex(unhex(sha256(unhex(sha256(v::BLOB) || hex(v::BLOB)))))) AS digest FROM log")
 def cpu_worker_chain(spark, d):
-    """The CPU worker's hash chain of length 2 over the whole log, in the JVM. The SQL above has part 1 below offset 200 only."""
+    """The CPU worker's hash chain of length 2 over the whole log, in the JVM."""
     return message_log(spark, d).select(*O.TP, "off", sha256_chain(F.col("v"), 2).alias("digest"))
 
 
@@ -440,7 +471,7 @@ def histogram_p99(spark, d):
 
 @query("SELECT user_id % 8 AS part, v AS value, (v = arg_max(event_type, event_id))::INTEGER AS is_current FROM events, (SELECT unnest(['view', 'signup', 'error', 'click', 'purchase']) v) GROUP BY 1, 2")
 def one_hot_status(spark, d):
-    """M5 to M7: last value, one-hot over a closed domain."""
+    """M5, M6: last value, one-hot over a closed domain."""
     last = table(spark, d, "events").groupBy((F.col("user_id") % 8).alias("part")).agg(F.max_by("event_type", "event_id").alias("status"))
     return M.one_hot(last, "status", ["view", "signup", "error", "click", "purchase"])
 
@@ -618,3 +649,167 @@ def topic_names(spark, d):
 def csv_selection(spark, d):
     """P8."""
     return spark.range(1).select(F.array_join(csv_choices(F.lit(" sleep, io ,sleep,"), ["sleep", "cpu", "io"]), "|").alias("picked"))
+
+
+@query("WITH " + LOG_SQL + ", f AS (SELECT topic, part FROM log WHERE event_id % 50 = 7 AND event_id % 4 = 1) SELECT topic, part, count(*) AS in_flight FROM f GROUP BY topic, part UNION ALL SELECT NULL, NULL, count(*) FROM f")
+def in_flight_counts(spark, d):
+    """Work in flight by partition, and in all."""
+    return R.in_flight_counts(_flying(message_log(spark, d)))
+
+
+_TURNS = "h AS (SELECT topic, part, k AS route, min(event_id) AS activated FROM log GROUP BY ALL), q AS (SELECT topic, part, k AS route, row_number() OVER (PARTITION BY topic, part, k ORDER BY off) - 1 AS queue_pos FROM log), busy AS (SELECT DISTINCT topic, part, k AS route FROM log WHERE event_id % 50 = 7 AND event_id % 4 = 1)"
+
+
+@query("WITH " + LOG_SQL + ", " + _TURNS + " SELECT topic, part, route, queue_pos, row_number() OVER (ORDER BY queue_pos, activated, topic, part, route) - 1 AS turn FROM q JOIN h USING (topic, part, route) WHERE (topic, part, route) NOT IN (SELECT topic, part, route FROM busy)")
+def round_robin_turns(spark, d):
+    """The order in which runnable queues give their items, one each in turn."""
+    log = message_log(spark, d)
+    heads = log.groupBy(*O.TP, F.col("k").alias("route")).agg(F.min("event_id").alias("activated"))
+    busy = log.where("event_id % 50 = 7 AND event_id % 4 = 1").select(*O.TP, F.col("k").alias("route"))
+    return R.round_robin(heads, busy, "key_hash", R.queue_ranks(log, "key_hash"))
+
+
+@query("WITH " + COMPLETIONS_SQL + ", bad AS (SELECT topic, part, off, event_id FROM comp WHERE status = 'failure' AND attempt >= 3), pend AS (SELECT topic, part, off, (event_id % 6)::INTEGER AS n FROM bad WHERE event_id % 5 = 0) SELECT topic, part, off, 0 AS stage, n AS publish_attempts, n >= 4 AS exhausted FROM pend UNION ALL SELECT topic, part, off, 1, 0, false FROM bad ANTI JOIN pend USING (topic, part, off)")
+def pending_ledger(spark, d):
+    """Pending dead letters come before fresh ones, up to their publish attempts."""
+    bad = completions(message_log(spark, d)).where(D.disposition() == "dlq")
+    return D.publish_order(bad.where("event_id % 5 = 0").withColumn("publish_attempts", F.col("event_id") % 6), bad, 4)
+
+
+@query("WITH " + COMPLETIONS_SQL + ", ok AS (SELECT topic, part, off FROM comp WHERE status = 'success'), bad AS (SELECT topic, part, off, event_id FROM comp WHERE status = 'failure'), d AS (SELECT topic, part, off FROM ok UNION SELECT topic, part, off FROM bad WHERE event_id % 3 = 0) SELECT topic, part, count(*) AS complete FROM d GROUP BY ALL")
+def pending_hold_offsets(spark, d):
+    """An offset whose dead letter is not published yet is not complete."""
+    done = completions(message_log(spark, d))
+    bad = done.where("status = 'failure'")
+    return D.completed_offsets(done.where("status = 'success'"), bad.where("event_id % 3 = 0"), bad).groupBy(*O.TP).agg(F.count("*").alias("complete"))
+
+
+@query("WITH " + LOG_SQL + " SELECT topic, part, count(*) AS cached FROM log WHERE event_id % 3 <> 0 AND part % 4 <> 1 GROUP BY ALL")
+def cache_after_revoke(spark, d):
+    """The payload cache without entries that were taken and without revoked partitions."""
+    log = message_log(spark, d)
+    return D.cache_without(log, log.where("event_id % 3 = 0"), log.where("part % 4 = 1").select(*O.TP).distinct()).groupBy(*O.TP).agg(F.count("*").alias("cached"))
+
+
+_REG = "ev AS (SELECT user_id % 16 AS worker, event_id % 37 AS item, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'timeout' ELSE 'start' END AS kind, (user_id % 5)::INTEGER AS tries FROM events)"
+
+
+@query("WITH " + _REG + """, l AS (SELECT worker, item, max(seq) FILTER (WHERE kind = 'start') AS s, max(seq) FILTER (WHERE kind = 'done') AS e FROM ev GROUP BY ALL),
+o AS (SELECT worker, item, s FROM l WHERE s IS NOT NULL AND (e IS NULL OR e < s)), r AS (SELECT ev.worker, ev.item, max(tries) FILTER (WHERE kind = 'start') AS n, max(seq) FILTER (WHERE kind = 'timeout') AS late FROM ev JOIN o ON o.worker = ev.worker AND o.item = ev.item AND ev.seq >= o.s GROUP BY ALL)
+SELECT worker, item, CASE WHEN late IS NOT NULL OR n >= 3 THEN 'failure' ELSE 'requeue' END AS action, CASE WHEN late IS NOT NULL THEN 'task_timeout' WHEN n >= 3 THEN 'worker_died_max_retries' END AS error, CASE WHEN late IS NOT NULL THEN 2 WHEN n >= 3 THEN n ELSE n + 1 END AS attempt FROM r WHERE worker % 4 = 0""")
+def dead_worker_recovery(spark, d):
+    """The registry of items in flight, and what becomes of those of dead workers."""
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "timeout").otherwise("start")
+    events = e.select((F.col("user_id") % 16).alias("worker"), (F.col("event_id") % 37).alias("item"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("user_id") % 5).cast("int").alias("requeue_attempts"), F.lit(2).alias("attempt"), F.lit(None).cast("string").alias("timeout_error"))
+    return D.recover_dead_workers(D.registry_state(events), events.where("worker % 4 = 0").select("worker").distinct())
+
+
+@query("""WITH s AS (SELECT user_id % 6 AS consumer, max(event_id) AS top, count(*) AS n FROM events GROUP BY 1), f AS (SELECT unnest(['configured_max_in_flight', 'effective_max_in_flight', 'min_in_flight', 'scale_up_step', 'scale_down_step', 'cooldown_ms']) AS f),
+g AS (SELECT unnest(['lag_scale_up_threshold', 'low_latency_threshold_ms', 'high_latency_threshold_ms', 'avg_completion_latency_seconds']) AS f), d AS (SELECT unnest(['scale_up', 'scale_down', 'hold', 'cooldown', 'disabled']) AS v)
+SELECT consumer, 'adaptive_backpressure_' || f AS gauge, '' AS label, CASE WHEN consumer % 2 = 0 THEN 0 WHEN f = 'effective_max_in_flight' THEN n WHEN f = 'avg_completion_latency_seconds' THEN 0 ELSE top END::DOUBLE AS value FROM s, (FROM f UNION ALL FROM g)
+UNION ALL SELECT consumer, 'adaptive_backpressure_last_decision', v, (v = CASE WHEN consumer % 2 = 0 THEN 'disabled' ELSE 'hold' END)::INTEGER::DOUBLE FROM s, d
+UNION ALL SELECT consumer, 'adaptive_concurrency_' || f, '', CASE WHEN consumer % 3 = 0 THEN 0 WHEN f = 'effective_max_in_flight' THEN n ELSE top END::DOUBLE FROM s, f""")
+def adaptive_gauges(spark, d):
+    """M7: the gauges of both adaptive controllers, some of them off."""
+    s = table(spark, d, "events").groupBy((F.col("user_id") % 6).alias("consumer")).agg(F.max("event_id").alias("top"), F.count("*").alias("n"))
+
+    def fields(names, *more):
+        return F.struct(*[F.when(F.lit(f == "effective_max_in_flight"), F.col("n")).when(F.lit(f == "avg_completion_latency_seconds"), F.lit(None)).otherwise(F.col("top")).alias(f) for f in names], *more)
+
+    s = s.withColumn("backpressure", F.when(F.col("consumer") % 2 != 0, fields(M.BACKPRESSURE_FIELDS, F.lit("hold").alias("last_decision")))).withColumn("concurrency", F.when(F.col("consumer") % 3 != 0, fields(M.CONCURRENCY_FIELDS)))
+    return M.adaptive_gauges(s, ["consumer"])
+
+
+@query("WITH " + STATE + """, g AS (SELECT topic, part, count(*) AS n, min(gap_start) AS b FROM gap GROUP BY ALL), x AS (SELECT topic, part, coalesce(n, 0) AS n, b, CASE WHEN part % 3 > 0 THEN b / 4.0 END AS age FROM assign LEFT JOIN g USING (topic, part))
+SELECT topic, part, topic || '-' || part || ' queued=' || part || ' gaps=' || n || ' blocking=' || coalesce(b::VARCHAR, 'none') || ' age=' || CASE WHEN b IS NULL OR age IS NULL THEN 'n/a' ELSE printf('%.2fs', age) END AS line, coalesce(b IS NOT NULL AND age >= 5, false) AS warn FROM x""")
+def diagnostics(spark, d):
+    """The diagnostics line of each partition, and whether its blocking offset is to be warned of."""
+    log = message_log(spark, d)
+    m = M.partition_metrics(finished(log), _state(log), log.limit(0)).withColumn("queued", F.col("part")).withColumn("age", F.when(F.col("part") % 3 > 0, F.col("blocking") / 4.0))
+    return M.diagnostics_line(m)
+
+
+@query("WITH " + COMPLETIONS_SQL + " SELECT 'processed_total' AS metric, 'processed_total{topic=\"' || topic || '\",part=\"' || part || '\",status=\"' || status || '\"} ' || count(*) AS line FROM comp GROUP BY topic, part, status")
+def metric_lines(spark, d):
+    """Counters in the text exposition format."""
+    return M.exposition(M.processed_total(completions(message_log(spark, d))).withColumn("metric", F.lit("processed_total")), ["topic", "part", "status"], value="processed")
+
+
+_ART = "SELECT user_id AS artifact, CASE WHEN user_id % 5 = 1 THEN 9000 WHEN user_id % 5 = 2 THEN NULL ELSE 10000 END::BIGINT AS num_messages, CASE WHEN user_id % 7 = 3 THEN 4 ELSE 8 END::BIGINT AS num_partitions, user_id % 11 = 4 AS profile, user_id % 3 = 0 AS mixed FROM (SELECT DISTINCT user_id FROM events)"
+_CONDITIONS = f"o AS ({_ART}), cond AS (SELECT artifact, 'num_messages' AS reason FROM o WHERE num_messages IS DISTINCT FROM 10000 UNION ALL SELECT artifact, 'num_partitions' FROM o WHERE num_partitions <> 8 UNION ALL SELECT artifact, 'strict' FROM o WHERE mixed UNION ALL SELECT artifact, 'profiling' FROM o WHERE profile)"
+
+
+def _conditions(spark, d) -> DataFrame:
+    u = F.col("user_id")
+    o = table(spark, d, "events").select("user_id").distinct().select(u.alias("artifact"), F.when(u % 5 == 1, 9000).when(u % 5 == 2, None).otherwise(10000).cast("long").alias("num_messages"), F.when(u % 7 == 3, 4).otherwise(8).cast("long").alias("num_partitions"), F.when(u % 3 == 0, F.array(F.lit("on"), F.lit("off"))).otherwise(F.array(F.lit("on"))).alias("strict"), (u % 11 == 4).alias("profile"), F.lit(None).cast("boolean").alias("py_spy"))
+    return B.measurement_conditions(o)
+
+
+@query("WITH " + _CONDITIONS + " SELECT artifact, reason, 'FAIL' AS status FROM cond")
+def gate_conditions(spark, d):
+    """Artifacts that were not measured as the gate asks."""
+    return _conditions(spark, d)
+
+
+_HELD = """ob AS (SELECT user_id % 40 AS artifact, event_id AS seq, CAST(event_id // 97 AS VARCHAR) AS run, event_id / 10.0 AS el, user_id % 6 AS g FROM events),
+ob2 AS (SELECT *, CASE WHEN g > 0 AND lag(run) OVER w IS NOT DISTINCT FROM run THEN 0 ELSE 1 END AS turn FROM ob WINDOW w AS (PARTITION BY artifact ORDER BY seq)), ob3 AS (SELECT *, sum(turn) OVER (PARTITION BY artifact ORDER BY seq) AS st FROM ob2),
+held AS (SELECT artifact FROM (SELECT artifact, st, max(el) - min(el) AS t FROM ob3 WHERE g > 0 GROUP BY artifact, st) GROUP BY artifact HAVING max(t) > 5)"""
+
+
+def _held(spark, d) -> DataFrame:
+    e = table(spark, d, "events").select((F.col("user_id") % 40).alias("artifact"), F.col("event_id").alias("seq"), F.expr("event_id div 97").cast("string").alias("run"), (F.col("event_id") / 10.0).alias("elapsed_sec"), (F.col("user_id") % 6).alias("gap_count"))
+    return B.persistent_gaps(e, limit_s=5.0)
+
+
+@query("WITH " + _HELD + " SELECT artifact, 'persistent_gap' AS reason, 'FAIL' AS status FROM held")
+def gate_persistent_gaps(spark, d):
+    """Artifacts in which a gap stayed open too long, with a limit of 5 seconds for these data."""
+    return _held(spark, d)
+
+
+@query("WITH " + RESULTS_SQL + ", " + _LIMITS + _GATE + ", " + _CONDITIONS + ", " + _HELD + ", a AS (SELECT reason <> 'ok' AS bad FROM c UNION ALL SELECT true FROM cond UNION ALL SELECT true FROM held) SELECT CASE WHEN bool_or(bad) THEN 'NO-GO' ELSE 'PASS' END AS verdict, count(*) FILTER (WHERE bad) AS failed FROM a")
+def release_decision(spark, d):
+    """The verdict from thresholds, conditions and persistent gaps."""
+    return B.gate_verdict(_gated(spark, d), _conditions(spark, d), _held(spark, d))
+
+
+@query("SELECT event_id, CASE WHEN t THEN 1 ELSE b END AS effective_size, CASE WHEN t THEN 0 END AS effective_wait_ms FROM (SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 32 END AS b, user_id % 2 = 0 AND event_id % 3 > 0 AND value <= 5 AND user_id % 4 <> 0 AS t FROM events)")
+def auto_batching(spark, d):
+    """Effective micro-batch options of process runs."""
+    u = F.col("user_id")
+    o = table(spark, d, "events").select("event_id", F.lit(False).alias("skip_process"), F.array(F.lit("sleep"), F.lit("io")).alias("workloads"), F.array(F.when(u % 2 == 0, "partition").otherwise("key_hash")).alias("orderings"), F.array(F.when(F.col("event_id") % 3 > 0, "on").otherwise("off")).alias("strict"), (F.col("value") / 10).alias("sleep_ms"), F.when(u % 4 == 0, 32).alias("batch_size"), *[F.lit(None).cast("int").alias(c) for c in ("max_wait_ms", "flush_policy", "min_residence_ms")])
+    return B.auto_batching(o).select("event_id", "effective_size", "effective_wait_ms")
+
+
+@query("SELECT event_id, CASE WHEN user_id % 9 = 0 THEN 'n/a' ELSE (CASE WHEN v >= 0 THEN '+' ELSE '' END) || printf('%.2f', v) || '%' END AS change, CASE WHEN user_id % 9 = 0 THEN 'n/a' ELSE printf('%.2f', v) || 'x' END AS ratio, CASE WHEN user_id % 9 = 0 THEN 'n/a' ELSE printf('%,d', event_id) END AS whole FROM (SELECT *, ((event_id * 37) % 4001 - 2000) / 8.0 AS v FROM events)".replace("printf('%,d', event_id)", "format('{:,}', event_id)"))
+def number_formats(spark, d):
+    """Signed numbers, ratios and thousands, n/a where there is none."""
+    v = F.when(F.col("user_id") % 9 != 0, ((F.col("event_id") * 37) % 4001 - 2000) / 8.0)
+    return table(spark, d, "events").select("event_id", B.signed(v, 2, "%").alias("change"), B.times(v).alias("ratio"), B.human(F.when(F.col("user_id") % 9 != 0, F.col("event_id")), 0).alias("whole"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'key_hash' WHEN 1 THEN 'unordered' WHEN 2 THEN 'partition' ELSE 'key_hash' END AS ordering FROM events")
+def ordering_of_runs(spark, d):
+    """The ordering mode by the name of the run, else of the topic, else key_hash."""
+    k = F.col("event_id") % 4
+    run = F.when(k == 0, "async-key_hash-1").when(k == 1, "process-unordered").otherwise("x")
+    return table(spark, d, "events").select("event_id", B.order_of(run, F.when(k == 2, "bench-partition-8").otherwise("bench")).alias("ordering"))
+
+
+@query("SELECT event_type AS run, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS seq, event_id / 4.0 AS elapsed_sec, user_id % 9 AS lag, user_id % 4 AS gap_count FROM events WHERE event_id % 20 = 0")
+def merged_observations(spark, d):
+    """Observations of all results, with their runs."""
+    e = table(spark, d, "events").where("event_id % 20 = 0")
+    o = F.struct("event_id", (F.col("event_id") / 4.0).alias("elapsed_sec"), (F.col("user_id") % 9).alias("lag"), (F.col("user_id") % 4).alias("gap_count"))
+    results_ = e.groupBy(F.col("event_type").alias("run")).agg(F.transform(F.array_sort(F.collect_list(o)), lambda x: F.struct(x.elapsed_sec.alias("elapsed_sec"), x.lag.alias("lag"), x.gap_count.alias("gap_count"))).alias("observations"))
+    return B.merge_observations(results_).withColumn("seq", F.col("seq").cast("long"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id WHEN 1 THEN event_id + 1 WHEN 2 THEN event_id + 2 END AS final_lag FROM events")
+def coalesced_finals(spark, d):
+    """The first whole number of three places; true and fractions are no numbers of messages."""
+    i, k = F.col("event_id").cast("string"), F.col("event_id") % 5
+    one = F.when(k == 0, F.concat(F.lit('{"final_lag": '), i, F.lit("}"))).when(k == 1, F.concat(F.lit('{"final_lag": true, "consumer_parallel_lag": '), (F.col("event_id") + 1).cast("string"), F.lit("}")))
+    two = F.when(k == 2, F.concat(F.lit('{"final_lag": 1.5, "completion_metrics": {"consumer_parallel_lag": '), (F.col("event_id") + 2).cast("string"), F.lit("}}"))).when(k == 3, F.lit('{"final_lag": "7"}')).otherwise(F.lit("not json"))
+    return table(spark, d, "events").select("event_id", B.whole_number(F.coalesce(one, two), "$.final_lag", "$.consumer_parallel_lag", "$.completion_metrics.consumer_parallel_lag").alias("final_lag"))
