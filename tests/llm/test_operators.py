@@ -443,6 +443,19 @@ def test_rule_ensemble(spark, docs, empty):
     assert all(r.quality_score > 0.9 for r in score_quality(docs, fit_quality(table, labels.withColumn("quality", F.lit(1)))).collect())
 
 
+def test_held_out_accuracy(spark):
+    """Quality and language of rows that nothing was learned from."""
+    from offsetlake.llm.queries import op2_rule_ensemble_quality, op9_language_id
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    quality = op2_rule_ensemble_quality(spark, folder).where("held_out").join(labels, "doc_id").collect()
+    share = sum(r.quality for r in quality) / len(quality)
+    assert len(quality) > 80 and sum(r.predicted == r.quality for r in quality) / len(quality) > max(0.95, share)
+    known = op9_language_id(spark, folder).where("held_out AND lang_pred <> 'und'").join(docs.where("lang IS NOT NULL").select("doc_id", "lang"), "doc_id").collect()
+    assert len(known) > 200 and sum(r.lang == r.lang_pred for r in known) / len(known) > 0.98
+
+
 def test_labelled_sample_is_bounded(spark):
     from offsetlake.llm.rule_ensemble import labelled_sample
 
