@@ -164,16 +164,25 @@ def size_batches(items: DataFrame, keys: list[str], order: str, size: int = 64)
     return items.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1) / size).cast("long"))
 
 
-def timed_batches(items: DataFrame, keys: list[str], size: int = 64, wait_s: float = 0.005) -> DataFrame:
-    """Adds batch and reason (size, timer or close, on a batch's last row) over items with `at` seconds, flushed at `size` or `wait_s` after the first."""
-    w = Window.partitionBy(*keys).orderBy("at")
+def timed_batches(items: DataFrame, keys: list[str], size: int = 64, wait_s: float = 0.005, policy: str = "size_or_timer", residence_s: float = 0.0) -> DataFrame:
+    """Adds batch and reason (size, timer, demand or close, on a batch's last row) over items with `at` seconds, flushed at `size` or `wait_s` after the first.
+
+    Policy demand also flushes what is held before each further item, demand_min_residence only if its first item has waited residence_s.
+    """
+    if policy not in ("size_or_timer", "demand", "demand_min_residence"):
+        raise ValueError(f"unknown flush policy {policy!r}")
+    least = {"size_or_timer": float("inf"), "demand": 0.0, "demand_min_residence": residence_s}[policy]
+    # A batch's first row tells what flushed the batch before; equal times keep the fold's order of batches.
+    w = Window.partitionBy(*keys).orderBy("batch", "at", F.col("flushed").isNull(), "full")
 
     def start():
         first, count, number = None, 0, 0
 
         def step(r):
             nonlocal first, count, number
-            if first is not None and r.at - first >= wait_s:
+            age, flushed = None if first is None else r.at - first, None
+            if age is not None and (age >= wait_s or age >= least):
+                flushed = "timer" if age >= wait_s else "demand"
                 number, first, count = number + 1, None, 0
             if first is None:
                 first, count = r.at, 0
@@ -181,11 +190,36 @@ def timed_batches(items: DataFrame, keys: list[str], size: int = 64, wait_s: flo
             mine, full = number, count >= size
             if full:
                 number, first = number + 1, None
-            return {"batch": mine, "full": full}
+            return {"batch": mine, "full": full, "flushed": flushed}
 
         return step
 
     frame = items.select(*keys, F.col("at").cast("double"))
-    out = ordered_fold(frame, keys, ["at"], start, f"{frame.schema.simpleString()[7:-1].replace(':', ' ')}, batch long, full boolean")
-    after = F.lead("batch").over(w)
-    return out.withColumn("reason", F.when(F.col("full"), "size").when(after.isNull(), "close").when(after != F.col("batch"), "timer")).drop("full")
+    out = ordered_fold(frame, keys, ["at"], start, f"{frame.schema.simpleString()[7:-1].replace(':', ' ')}, batch long, full boolean, flushed string")
+    after, why = F.lead("batch").over(w), F.lead("flushed").over(w)
+    return out.withColumn("reason", F.when(F.col("full"), "size").when(after.isNull(), "close").when(after != F.col("batch"), why)).drop("full", "flushed")
+
+
+def runtime_limits(samples: DataFrame, keys: list[str], ceiling: int, backpressure: dict, concurrency: dict) -> DataFrame:
+    """Adds limit_after, decision and paused_after over samples with at (seconds), in_flight, queued, lag, latency: both controllers and the pause in one fold.
+
+    The limit starts at the ceiling. For every sample the backpressure controller moves it, then the concurrency controller, both seeing the pause as it was
+    before, each result within 1 and the ceiling; then the pause is set above the limit and reset below 0.7 of it (1 at least).
+    """
+
+    def start():
+        cap, use, limit, paused = BackpressureLimit(ceiling, **backpressure), ConcurrencyLimit(ceiling, **concurrency), ceiling, False
+
+        def step(r):
+            nonlocal limit, paused
+            limit, decision = cap.evaluate(r.at, limit, r.queued, r.lag, paused, None if pd.isna(r.latency) else r.latency)
+            limit = max(1, min(ceiling, limit))
+            limit = max(1, min(ceiling, use.evaluate(r.at, limit, r.in_flight, r.queued, r.lag, paused) or limit))
+            load = r.in_flight + r.queued
+            paused = load > limit or (paused and load >= max(1, int(limit * 0.7)))
+            return {"limit_after": limit, "decision": decision, "paused_after": paused}
+
+        return step
+
+    frame = samples.select(*keys, F.col("at").cast("double"), *[F.col(c).cast("long") for c in ("in_flight", "queued", "lag")], F.col("latency").cast("double"))
+    return ordered_fold(frame, keys, ["at"], start, f"{frame.schema.simpleString()[7:-1].replace(':', ' ')}, limit_after long, decision string, paused_after boolean")

@@ -425,6 +425,39 @@ def timed_batches(spark, d):
     return M.flush_metrics(sizes)
 
 
+@query("""WITH RECURSIVE o AS (SELECT user_id % 8 AS part, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT DISTINCT part, 0::BIGINT AS rn, 0::BIGINT AS batch, 0::BIGINT AS number, NULL::DOUBLE AS began, 0::BIGINT AS n, false AS filled, NULL::VARCHAR AS why FROM o
+  UNION ALL
+  SELECT part, rn, nb, nb + CASE WHEN nn >= 8 THEN 1 ELSE 0 END, CASE WHEN nn < 8 THEN nf END, nn, nn >= 8, why
+  FROM (SELECT o.part, o.rn, f.number + CASE WHEN o.t - f.began >= 600 THEN 1 ELSE 0 END AS nb, CASE WHEN o.t - f.began < 600 THEN f.began ELSE o.t END AS nf, CASE WHEN o.t - f.began < 600 THEN f.n + 1 ELSE 1 END AS nn,
+          CASE WHEN o.t - f.began >= 1800 THEN 'timer' WHEN o.t - f.began >= 600 THEN 'demand' END AS why FROM f JOIN o ON o.part = f.part AND o.rn = f.rn + 1)),
+b AS (SELECT part, batch, count(*) AS items, bool_or(filled) AS filled, max(why) AS why FROM f WHERE rn > 0 GROUP BY part, batch),
+r AS (SELECT items, CASE WHEN filled THEN 'size' ELSE coalesce(lead(why) OVER (PARTITION BY part ORDER BY batch), 'close') END AS reason FROM b)
+SELECT reason, count(*) AS flushes, sum(items)::BIGINT AS items, sum(items) / count(*) AS average FROM r GROUP BY reason""")
+def demand_batches(spark, d):
+    """E13 with the policy that flushes on demand after a residence, then M8."""
+    ship(spark)
+    items = table(spark, d, "events").select((F.col("user_id") % 8).alias("part"), (micros("ts") / 1e6).alias("at"))
+    out = L.timed_batches(items, ["part"], 8, 1800.0, "demand_min_residence", 600.0)
+    return M.flush_metrics(out.groupBy("part", "batch").agg(F.count("*").alias("items"), F.max("reason").alias("reason")))
+
+
+@query("WITH RECURSIVE " + _SAMPLES + """,
+f AS (SELECT DISTINCT consumer, 0::BIGINT AS rn, 0::DOUBLE AS t, 90::BIGINT AS lim, NULL::DOUBLE AS c1, NULL::DOUBLE AS c2, '' AS decision, false AS stopped FROM p
+  UNION ALL
+  SELECT consumer, rn, t, l2, CASE WHEN held1 OR l1 = lim THEN c1 ELSE t END, CASE WHEN held2 OR l2 = l1 THEN c2 ELSE t END, CASE WHEN held1 THEN 'cooldown' WHEN l1 = lim THEN 'hold' WHEN l1 < lim THEN 'scale_down' ELSE 'scale_up' END,
+    in_flight + queued > l2 OR (stopped AND in_flight + queued >= greatest(1, floor(l2 * 0.7::DOUBLE)))
+  FROM (SELECT *, CASE WHEN held2 THEN l1 WHEN stopped OR in_flight + queued > l1 THEN greatest(22, l1 - 24) WHEN lag >= l1 AND queued = 0 THEN least(90, l1 + 16) ELSE l1 END AS l2
+    FROM (SELECT *, CASE WHEN held1 THEN lim WHEN stopped OR latency >= 0.05 THEN greatest(1, lim - 16) WHEN lag >= 20 AND queued = 0 AND latency <= 0.02 THEN least(90, lim + 20) ELSE lim END AS l1
+      FROM (SELECT p.*, f.lim, f.c1, f.c2, f.stopped, coalesce(p.t - f.c1 < 600, false) AS held1, coalesce(p.t - f.c2 < 900, false) AS held2 FROM f JOIN p ON p.consumer = f.consumer AND p.rn = f.rn + 1))))
+SELECT consumer, t AS "at", lim AS limit_after, decision, stopped AS paused_after FROM f WHERE rn > 0""")
+def runtime_limits(spark, d):
+    """backpressure, concurrency and the pause, composed in one fold."""
+    ship(spark)
+    out = L.runtime_limits(_paused(spark, d), ["consumer"], 90, {"up": 20, "cooldown": 600.0, "lag_threshold": 20, "low_s": 0.02, "high_s": 0.05}, {"up": 16, "down": 24, "cooldown": 900.0})
+    return out.select("consumer", "at", "limit_after", "decision", "paused_after")
+
+
 @query("WITH " + LOG_SQL + " SELECT topic, part, off, lower(hex(unhex(sha256(unhex(sha256(v::BLOB) || hex(v::BLOB)))))) AS digest FROM log")
 def cpu_worker_chain(spark, d):
     """The CPU worker's hash chain of length 2 over the whole log, in the JVM."""
@@ -726,7 +759,7 @@ SELECT topic, part, topic || '-' || part || ' queued=' || part || ' gaps=' || n
 def diagnostics(spark, d):
     """The diagnostics line of each partition, and whether its blocking offset is to be warned of."""
     log = message_log(spark, d)
-    m = M.partition_metrics(finished(log), _state(log), log.limit(0)).withColumn("queued", F.col("part")).withColumn("age", F.when(F.col("part") % 3 > 0, F.col("blocking") / 4.0))
+    m = M.partition_metrics(finished(log), _state(log), log.where("event_id % 50 = 7")).withColumn("queued", F.col("part")).withColumn("age", F.when(F.col("part") % 3 > 0, F.col("blocking") / 4.0))
     return M.diagnostics_line(m)
 
 
