@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offsetlake.operators.ranges import ranked
+
 #: The release thresholds: mode, workload, ordering, least TPS, greatest p99 in ms.
 THRESHOLDS = (
     ("async", "sleep", "key_hash", 4900.0, 13.0),
@@ -168,6 +170,68 @@ def parse_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.select(kind.alias("kind"), topic.alias("topic"), tps.cast("double").alias("tps"), done.cast("long").alias("processed")).where("kind IS NOT NULL")
 
 
+def log_events(lines: DataFrame, value: str = "value") -> DataFrame:
+    """All other columns, then kind, topic, workload, ordering, phase, strict, target, processed, tps, path of a benchmark's log lines.
+
+    Kinds: start (a line that starts with Starting and names a topic), target, processed, result, summary, reset; other lines are left out. What a line does not
+    say is null. A run is (workload, ordering, strict, phase), read from its topic's name.
+    """
+    v = F.trim(F.col(value))
+
+    def part(text: Column, pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+
+    topic = part(v, r"topic '([^']+)'")
+    start = F.coalesce(v.startswith("Starting ") & topic.isNotNull(), F.lit(False))
+    target = F.coalesce(part(v, r"Will process up to (\d+) messages"), part(v, r"Target messages to process:\s*(\d+)")).cast("long")
+    processed = F.coalesce(part(v, r"Total messages processed(?: \(approx\))?:\s*(\d+)"), part(v, r"Processed (\d+) messages")).cast("long")
+    tps, path = part(v, r"Final TPS:\s*([0-9]+(?:\.[0-9]+)?)").cast("double"), part(v, r"JSON summary written to (.+)$")
+    kind = F.when(v.contains("Resetting benchmark topics/groups:"), "reset").when(target.isNotNull(), "target").when(start, "start").when(path.isNotNull(), "summary").when(tps.isNotNull(), "result").when(processed.isNotNull(), "processed")
+    named = F.when(start, topic)
+    phase = F.coalesce(part(named, r"(?:^|-)(async|process)(?:$|-strict-)"), F.when(named.contains("baseline"), "baseline"))
+    found = lines.select(
+        *[c for c in lines.columns if c != value], kind.alias("kind"), topic.alias("topic"), part(named, r"(?:^|-)(sleep|cpu|io)-").alias("workload"), part(named, r"(?:^|-)(key_hash|partition|unordered)(?:-|$)").alias("ordering"),
+        phase.alias("phase"), part(named, r"(?:^|-)strict-(on|off)(?:$|[.-])").alias("strict"), target.alias("target"), processed.alias("processed"), tps.alias("tps"), path.alias("path"),
+    )
+    return found.where("kind IS NOT NULL")
+
+
+def run_progress(events: DataFrame, keys: list[str], order: str, total: int) -> DataFrame:
+    """keys, order, kind, then what is known after each of the `log_events`: run_topic, target, processed, started, completed, progress.
+
+    The topic is that of the last start, target and processed are the last ones since then (0 before any). A run counts once, at its first start, if workload,
+    ordering and phase are known; a result completes the oldest run that is not complete, and none when there is none: a queue whose length never falls below
+    0, so it is the running sum of steps less its running minimum. progress = completed + half of the others, `total` at most.
+    """
+    along = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = [F.coalesce(c, F.lit("")) for c in ("workload", "ordering", "strict", "phase")]
+    counts = (F.col("kind") == "start") & F.col("workload").isNotNull() & F.col("ordering").isNotNull() & F.col("phase").isNotNull()
+    marked = events.withColumn("counts", F.coalesce(counts, F.lit(False)))
+    nth = F.row_number().over(Window.partitionBy(*keys, "counts", *run).orderBy(order))
+    marked = marked.withColumn("opens", (F.col("counts") & (nth == 1)).cast("long")).withColumn("step", F.col("opens") - (F.col("kind") == "result").cast("long"))
+    marked = marked.withColumns({"started": F.sum("opens").over(along), "level": F.sum("step").over(along), "stretch": F.sum(F.col("counts").cast("long")).over(along)})
+    active = F.col("level") - F.least(F.lit(0), F.min("level").over(along))
+    within = Window.partitionBy(*keys, "stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = marked.select(
+        *keys, order, "kind", F.last(F.when(F.col("kind") == "start", F.col("topic")), ignorenulls=True).over(along).alias("run_topic"), F.coalesce(F.last("target", ignorenulls=True).over(within), F.lit(0)).alias("target"),
+        F.coalesce(F.last("processed", ignorenulls=True).over(within), F.lit(0)).alias("processed"), "started", (F.col("started") - active).alias("completed"),
+    )
+    return out.withColumn("progress", F.least(F.lit(float(total)), F.col("completed") + F.lit(0.5) * (F.col("started") - F.col("completed"))))
+
+
+def best_run(results: DataFrame, run: str = "run", tps: str = "tps") -> DataFrame:
+    """One row: runs, workloads (sorted, comma-joined), and name and TPS of the fastest run (the first by name of equally fast ones)."""
+    best = F.min(F.struct((-F.col(tps)).alias("fast"), F.col(run).alias("name")))
+    return results.agg(F.count("*").alias("runs"), F.array_join(F.array_sort(F.collect_set("workload")), ",").alias("workloads"), best.alias("best")).select("runs", "workloads", F.col("best.name").alias("best_run"), (-F.col("best.fast")).alias("best_tps"))
+
+
+def baseline_commits(records: DataFrame, keys: list[str], order: str, value: str, every: int = 100) -> DataFrame:
+    """keys, order, seen, commits: the records a sequential consumer works on (value not null and valid UTF-8), numbered from 1, and whether it commits there."""
+    good = records.where(F.col(value).isNotNull() & F.is_valid_utf8(F.col(value).cast("string")))
+    seen = ranked(good, keys, order, "seen").withColumn("seen", F.col("seen") + 1)
+    return seen.select(*keys, order, "seen", (F.col("seen") % every == 0).alias("commits"))
+
+
 def order_of(run: Column, topic: Column) -> Column:
     """Ordering mode by name: of the run, else of the topic, else key_hash."""
     def found(c: Column) -> Column:

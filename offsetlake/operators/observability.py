@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offsetlake.operators.offsets import TP, gaps, true_lag
+from offsetlake.options import LogOptions
 
 #: The default latency buckets (seconds) of the usual metrics client.
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
@@ -23,6 +24,47 @@ def snapshot(metrics: DataFrame, paused: bool = False) -> DataFrame:
     return metrics.agg(F.sum("lag").alias("total_lag"), F.sum("queued").alias("total_queued"), F.lit(paused).alias("paused"), F.array_sort(F.collect_list(F.struct(*TP, "lag", "gap_count", "blocking", "queued"))).alias("partitions"))
 
 
+def partition_runtime(done: DataFrame, state: DataFrame, queued: DataFrame, flying: DataFrame, ages: DataFrame) -> DataFrame:
+    """One row a partition: epoch, committed, fetched, lag, gaps (sorted), blocking, blocked_s, queued, in_flight, min_in_flight.
+
+    state: topic, part, epoch, committed, fetched. queued and flying: one row an offset. ages: topic, part, head, age in seconds; a blocking offset without
+    one gets null. A partition's gaps are one array.
+    """
+    g = gaps(done, state).groupBy(*TP).agg(F.array_sort(F.collect_list(F.struct("gap_start", "gap_end"))).alias("gaps")).withColumn("blocking", F.col("gaps")[0]["gap_start"])
+    g = g.join(ages.select(*TP, F.col("head").alias("blocking"), F.col("age").cast("double").alias("blocked_s")), [*TP, "blocking"], "left")
+    q = queued.groupBy(*TP).agg(F.count("*").alias("queued"))
+    f = flying.groupBy(*TP).agg(F.count("*").alias("in_flight"), F.min("off").alias("min_in_flight"))
+    out = state.join(true_lag(state), TP).join(g, TP, "left").join(q, TP, "left").join(f, TP, "left")
+    none = F.array().cast("array<struct<gap_start: long, gap_end: long>>")
+    return out.select(*TP, "epoch", "committed", "fetched", "lag", F.coalesce("gaps", none).alias("gaps"), "blocking", "blocked_s", F.coalesce("queued", F.lit(0)).alias("queued"), F.coalesce("in_flight", F.lit(0)).alias("in_flight"), "min_in_flight")
+
+
+def full_snapshot(parts: DataFrame, options: LogOptions, cached: DataFrame, circuits: DataFrame | None = None, poison: dict | None = None, concurrency: dict | None = None, backpressure: dict | None = None, limit: int | None = None, paused: bool = False, rebalancing: bool = False) -> DataFrame:
+    """One row with the sections queue, retry, dlq, poison_message, adaptive_concurrency, adaptive_backpressure and partitions (of `partition_runtime`, in order).
+
+    cached: one row a cached payload, with bytes. circuits: one row a key, with open. poison, concurrency, backpressure: a controller's settings; its section
+    is null where it has none. No section holds a secret.
+    """
+    e = options.execution
+
+    def section(values: dict | None, *more: Column) -> Column:
+        return F.struct(*[F.lit(v).alias(k) for k, v in values.items()], *more) if values is not None else F.lit(None)
+
+    of_parts = parts.agg(F.coalesce(F.sum("in_flight"), F.lit(0)).alias("flying"), F.coalesce(F.sum("queued"), F.lit(0)).alias("waiting"), F.array_sort(F.collect_list(F.struct(*parts.columns))).alias("partitions"))
+    of_cache = cached.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("size"), F.count("*").alias("entries"))
+    of_keys = circuits.agg(F.count_if("open").alias("open_count")) if circuits is not None else parts.sparkSession.range(1).select(F.lit(0).cast("long").alias("open_count"))
+    one = F.lit(1)
+    row = of_parts.withColumn("one", one).join(of_cache.withColumn("one", one), "one").join(of_keys.withColumn("one", one), "one")  # three tables of one row
+    queue = {"max_in_flight": e.max_in_flight if limit is None else limit, "configured_max_in_flight": e.max_in_flight, "is_paused": paused, "is_rebalancing": rebalancing, "ordering_mode": options.ordering}
+    retry = {"max_retries": e.max_retries, "retry_backoff_ms": e.retry_backoff_ms, "exponential_backoff": e.exponential, "max_retry_backoff_ms": e.max_retry_backoff_ms, "retry_jitter_ms": e.retry_jitter_ms}
+    dlq = {"enabled": bool(options.dlq_suffix), "topic": options.topic + options.dlq_suffix, "payload_mode": options.dlq_payload}
+    return row.select(
+        section(queue, F.col("flying").alias("total_in_flight"), F.col("waiting").alias("total_queued")).alias("queue"), section(retry).alias("retry"),
+        section(dlq, F.col("size").alias("message_cache_size_bytes"), F.col("entries").alias("message_cache_entry_count")).alias("dlq"),
+        section(poison, F.col("open_count").alias("open_circuit_count")).alias("poison_message"), section(concurrency).alias("adaptive_concurrency"), section(backpressure).alias("adaptive_backpressure"), "partitions",
+    )
+
+
 def processed_total(completions: DataFrame) -> DataFrame:
     return completions.groupBy(*TP, "status").agg(F.count("*").alias("processed"))
 

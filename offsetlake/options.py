@@ -25,11 +25,14 @@ class ExecutionOptions:
     exponential: bool = True
     max_retry_backoff_ms: int = 30000
     task_timeout_ms: int = 30000
+    retry_jitter_ms: int = 200
 
     def __post_init__(self):
         for name in ("max_in_flight", "max_retries", "task_timeout_ms"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be 1 or more")
+        if self.retry_jitter_ms < 0:
+            raise ValueError("retry_jitter_ms must be 0 or more")
 
 
 @dataclass(frozen=True)

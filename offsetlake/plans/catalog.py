@@ -16,6 +16,7 @@ from offsetlake.operators import observability as M
 from offsetlake.operators import offsets as O
 from offsetlake.operators import ordering as R
 from offsetlake.plans.fixtures import COMPLETIONS_SQL, LOG_SQL, RESULTS_SQL, RUNS_SQL, assignments, completions, fetched, finished, message_log, micros, results, runs, table
+from offsetlake.options import LogOptions
 from offsetlake.sources.producer import messages
 from offsetlake.session import ship
 
@@ -846,3 +847,57 @@ def coalesced_finals(spark, d):
     one = F.when(k == 0, F.concat(F.lit('{"final_lag": '), i, F.lit("}"))).when(k == 1, F.concat(F.lit('{"final_lag": true, "consumer_parallel_lag": '), (F.col("event_id") + 1).cast("string"), F.lit("}")))
     two = F.when(k == 2, F.concat(F.lit('{"final_lag": 1.5, "completion_metrics": {"consumer_parallel_lag": '), (F.col("event_id") + 2).cast("string"), F.lit("}}"))).when(k == 3, F.lit('{"final_lag": "7"}')).otherwise(F.lit("not json"))
     return table(spark, d, "events").select("event_id", B.whole_number(F.coalesce(one, two), "$.final_lag", "$.consumer_parallel_lag", "$.completion_metrics.consumer_parallel_lag").alias("final_lag"))
+
+
+@query("WITH " + STATE + """, g AS (SELECT topic, part, count(*) AS n, min(gap_start) AS b FROM gap GROUP BY ALL), q AS (SELECT topic, part, count(*) AS n FROM log WHERE event_id % 50 = 7 GROUP BY ALL),
+fl AS (SELECT topic, part, count(*) AS n, min(off) AS lo FROM log WHERE event_id % 50 = 7 AND event_id % 4 = 1 GROUP BY ALL),
+x AS (SELECT topic, part, concat_ws('|', part, part + 1, committed, fetched, greatest(0, fetched - committed), coalesce(g.n, 0), coalesce(b, -1), CASE WHEN b % 2 = 0 THEN b * 2 ELSE -1 END, coalesce(q.n, 0), coalesce(fl.n, 0), coalesce(lo, -1)) AS line
+  FROM assign JOIN fetched USING (topic, part) LEFT JOIN g USING (topic, part) LEFT JOIN q USING (topic, part) LEFT JOIN fl USING (topic, part))
+SELECT (SELECT count(*) FROM log WHERE event_id % 50 = 7 AND event_id % 4 = 1) AS total_in_flight, (SELECT count(*) FROM log WHERE event_id % 50 = 7) AS total_queued, 1000 AS max_in_flight, 'key_hash' AS ordering_mode, 3 AS max_retries, 'events.dlq' AS dlq_topic,
+  (SELECT sum(strlen(v))::BIGINT FROM log WHERE event_id % 3 = 0) AS cache_bytes, (SELECT count(*) FROM log WHERE event_id % 3 = 0) AS cache_entries,
+  (SELECT count(*) FROM (SELECT topic, part, k FROM log WHERE event_type = 'error' GROUP BY ALL HAVING count(*) >= 3)) AS open_circuits, true AS not_adaptive, string_agg(line, ';' ORDER BY topic, part) AS parts FROM x""")
+def snapshot_sections(spark, d):
+    """The whole snapshot with its queue, retry, dead-letter, poison and adaptive sections, shown flat."""
+    log = message_log(spark, d)
+    state = _state(log).withColumn("epoch", F.col("part") + 1)
+    ages = log.where("event_id % 50 = 7 OR (event_type = 'error' AND event_id % 200 = 3)").where("off % 2 = 0").select(*O.TP, F.col("off").alias("head"), (F.col("off") * 2).alias("age"))
+    parts = M.partition_runtime(finished(log), state, log.where("event_id % 50 = 7"), _flying(log), ages)
+    circuits = log.groupBy(*O.TP, "k").agg((F.count_if(F.col("event_type") == "error") >= 3).alias("open"))
+    s = M.full_snapshot(parts, LogOptions("events"), log.where("event_id % 3 = 0").select(F.octet_length("v").alias("bytes")), circuits, {"enabled": True, "failure_threshold": 3, "cooldown_ms": 30000})
+    shown = F.transform("partitions", lambda p: F.concat_ws("|", *[F.coalesce(x.cast("long").cast("string"), F.lit("-1")) for x in (p.part, p.epoch, p.committed, p.fetched, p.lag, F.size(p.gaps), p.blocking, p.blocked_s, p.queued, p.in_flight, p.min_in_flight)]))
+    return s.select(
+        "queue.total_in_flight", "queue.total_queued", "queue.max_in_flight", "queue.ordering_mode", "retry.max_retries", F.col("dlq.topic").alias("dlq_topic"), F.col("dlq.message_cache_size_bytes").alias("cache_bytes"), F.col("dlq.message_cache_entry_count").alias("cache_entries"),
+        F.col("poison_message.open_circuit_count").alias("open_circuits"), (F.col("adaptive_concurrency").isNull() & F.col("adaptive_backpressure").isNull()).alias("not_adaptive"), F.array_join(shown, ";").alias("parts"),
+    )
+
+
+@query("""WITH RECURSIVE l AS (SELECT user_id % 10 AS series, event_id, user_id, CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'result' WHEN 'error' THEN 'processed' WHEN 'signup' THEN 'target' END AS kind, event_id % 4 <> 0 AS known,
+  'bench-' || CASE event_id % 3 WHEN 0 THEN 'sleep' WHEN 1 THEN 'cpu' ELSE 'io' END || CASE WHEN event_id % 2 = 0 THEN '-key_hash' ELSE '-partition' END || CASE event_id % 4 WHEN 1 THEN '-async' WHEN 2 THEN '-process' WHEN 3 THEN '-baseline' ELSE '-other' END || CASE WHEN event_id % 5 < 3 THEN '-strict-on' ELSE '-strict-off' END AS topic FROM events),
+e AS (SELECT *, kind = 'start' AND known AS counts, row_number() OVER (PARTITION BY series ORDER BY event_id) AS rn, kind = 'start' AND known AND row_number() OVER (PARTITION BY series, kind, topic ORDER BY event_id) = 1 AS opens FROM l WHERE kind IS NOT NULL),
+f AS (SELECT DISTINCT series, 0::BIGINT AS rn, 0::BIGINT AS event_id, '' AS kind, NULL::VARCHAR AS run_topic, 0::BIGINT AS target, 0::BIGINT AS processed, 0::BIGINT AS started, 0::BIGINT AS completed FROM e
+  UNION ALL
+  SELECT e.series, e.rn, e.event_id, e.kind, CASE WHEN e.kind = 'start' THEN e.topic ELSE f.run_topic END, CASE WHEN e.counts THEN 0 WHEN e.kind = 'target' THEN e.user_id ELSE f.target END, CASE WHEN e.counts THEN 0 WHEN e.kind = 'processed' THEN e.event_id ELSE f.processed END,
+    f.started + CASE WHEN e.opens THEN 1 ELSE 0 END, CASE WHEN e.kind = 'result' THEN least(f.started, f.completed + 1) ELSE f.completed END FROM f JOIN e ON e.series = f.series AND e.rn = f.rn + 1)
+SELECT series, event_id, kind, run_topic, target, processed, started, completed, least(24.0, completed + 0.5 * (started - completed))::DOUBLE AS progress FROM f WHERE rn > 0""")
+def log_progress(spark, d):
+    """Runs, targets and progress after each line of benchmark logs."""
+    e, i = table(spark, d, "events"), F.col("event_id")
+    load = F.when(i % 3 == 0, "sleep").when(i % 3 == 1, "cpu").otherwise("io")
+    topic = F.concat(F.lit("bench-"), load, F.when(i % 2 == 0, "-key_hash").otherwise("-partition"), F.when(i % 4 == 1, "-async").when(i % 4 == 2, "-process").when(i % 4 == 3, "-baseline").otherwise("-other"), F.when(i % 5 < 3, "-strict-on").otherwise("-strict-off"))
+    t = F.col("event_type")
+    line = F.when(t == "view", F.concat(F.lit(" Starting consumer for topic '"), topic, F.lit("'"))).when(t == "click", F.concat(F.lit("Final TPS: "), i.cast("string"), F.lit(".5")))
+    line = F.coalesce(line, F.when(t == "error", F.concat(F.lit("Processed "), i.cast("string"), F.lit(" messages"))).when(t == "signup", F.concat(F.lit("Target messages to process: "), F.col("user_id").cast("string"))), F.lit("noise"))
+    return B.run_progress(B.log_events(e.select((F.col("user_id") % 10).alias("series"), "event_id", line.alias("value"))), ["series"], "event_id", 24)
+
+
+@query("WITH " + RESULTS_SQL + ", n AS (SELECT *, mode || '-' || workload || '-' || ordering || '-' || artifact AS run FROM results) SELECT count(*) AS runs, string_agg(DISTINCT workload, ',' ORDER BY workload) AS workloads, (SELECT run FROM n ORDER BY tps DESC, run LIMIT 1) AS best_run, max(tps) AS best_tps FROM n")
+def best_run(spark, d):
+    """The overview with the fastest run."""
+    return B.best_run(results(spark, d).withColumn("run", F.concat_ws("-", "mode", "workload", "ordering", F.col("artifact").cast("string"))))
+
+
+@query("WITH " + LOG_SQL + " SELECT part, off, row_number() OVER (PARTITION BY part ORDER BY off) AS seen, row_number() OVER (PARTITION BY part ORDER BY off) % 100 = 0 AS commits FROM log WHERE event_id % 11 <> 0 AND event_id % 13 <> 0")
+def baseline_commits(spark, d):
+    """What a sequential consumer works on, and where it commits."""
+    v = F.when(F.col("event_id") % 11 == 0, F.lit(None)).when(F.col("event_id") % 13 == 0, F.unhex(F.lit("FF41"))).otherwise(F.coalesce("v", F.lit("")).cast("binary"))
+    return B.baseline_commits(message_log(spark, d).withColumn("payload", v), ["part"], "off", "payload")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import inspect
+import random
 import time
 from collections.abc import Callable
 
@@ -126,7 +127,7 @@ class LogPipeline:
             except Exception:  # whatever the sink raises: the letters are kept
                 if turn + 1 < self.publish_tries:
                     wait = o.retry_backoff_ms * 2**turn if o.exponential else o.retry_backoff_ms
-                    time.sleep(min(wait, o.max_retry_backoff_ms) / 1000)
+                    time.sleep((min(wait, o.max_retry_backoff_ms) + random.uniform(0, o.retry_jitter_ms)) / 1000)
         return False
 
     def process(self, batch: DataFrame, batch_id: int) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import asyncio
 import inspect
+import random
 import signal
 import time
 from contextlib import contextmanager
@@ -21,7 +22,7 @@ OUTPUT = "topic string, part int, off long, status string, error string, attempt
 
 def _wait(attempt: int, o: ExecutionOptions) -> float:
     ms = min(o.retry_backoff_ms * 2 ** (attempt - 1), o.max_retry_backoff_ms) if o.exponential else o.retry_backoff_ms
-    return ms / 1000
+    return (ms + random.uniform(0, o.retry_jitter_ms)) / 1000
 
 
 class TaskTimeout(Exception):
