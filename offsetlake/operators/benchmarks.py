@@ -152,11 +152,12 @@ def overview(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("runs"), F.array_join(F.array_sort(F.collect_set("workload")), ",").alias("workloads"), F.max("tps").alias("best_tps"))
 
 
-def benchmark_matrix(spark, workloads: list[str], orderings: list[str], modes: list[str], skip_baseline: bool = False) -> DataFrame:
-    """All combinations to run; three short lists of options."""
+def benchmark_matrix(spark, workloads: list[str], orderings: list[str], modes: list[str], skip_baseline: bool = False, strict: list[str] | None = None, adaptive: list[str] | None = None) -> DataFrame:
+    """All combinations to run, of a few short lists of options; strict and adaptive (on, off) are columns only where they are given."""
     one = spark.range(1)
-    for name, values in (("workload", workloads), ("ordering", orderings), ("mode", [m for m in modes if not (skip_baseline and m == "baseline")])):
-        one = one.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    for name, values in (("workload", workloads), ("ordering", orderings), ("strict", strict), ("adaptive", adaptive), ("mode", [m for m in modes if not (skip_baseline and m == "baseline")])):
+        if values is not None:
+            one = one.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     return one.drop("id")
 
 
@@ -245,6 +246,14 @@ def merge_observations(results: DataFrame) -> DataFrame:
     return results.select("run", F.posexplode("observations").alias("seq", "o")).select("run", "seq", "o.*")
 
 
+def text_table(rows: DataFrame) -> str:
+    """The rows of a report as an aligned text table: columns joined by " | ", a line of dashes under the names. All rows come to the driver."""
+    cells = [list(rows.columns), *[["" if x is None else str(x) for x in r] for r in rows.collect()]]
+    wide = [max(len(r[k]) for r in cells) for k in range(len(rows.columns))]
+    lines = [" | ".join(x.ljust(w) for x, w in zip(r, wide, strict=True)).rstrip() for r in cells]
+    return "\n".join([lines[0], "-+-".join("-" * w for w in wide), *lines[1:]])
+
+
 def human(value: Column, digits: int = 2) -> Column:
     """Thousands separators and fixed digits; n/a for null."""
     return F.coalesce(F.format_number(value, digits), F.lit("n/a"))

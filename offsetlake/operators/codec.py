@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offsetlake.operators.offsets import TP, commit_through, high_water_mark
+
 #: Longest metadata, the sentinel of a set that does not fit, and the marks of the two codes.
 MAX_METADATA = 4000
 OVERFLOW, RUNS, BITS = "O", "R", "B"
@@ -55,3 +57,20 @@ def decode(metadata: Column) -> Column:
     listed = F.flatten(F.transform(pairs, lambda h, j: F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(F.conv(h, 16, 10).cast("int").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0, start + j.cast("bigint") * 8 + i.cast("bigint"))), lambda x: x.isNotNull())))
     kind = F.substring(metadata, 1, 1)
     return F.when((kind == RUNS) & runs_ok, F.array_sort(F.array_distinct(runs))).when((kind == BITS) & bits_ok, listed).otherwise(none)
+
+
+def restore(commits: DataFrame) -> DataFrame:
+    """topic, part, off: the finished offsets beyond the commit that its metadata tells, else the partition's own metadata (partition_metadata), else none.
+
+    commits: topic, part, committed, metadata, partition_metadata. Empty text counts as none; malformed text gives no offsets.
+    """
+    text = F.coalesce(F.nullif(F.col("metadata"), F.lit("")), F.nullif(F.col("partition_metadata"), F.lit("")))
+    return commits.select(*TP, "committed", F.explode(decode(text)).alias("off")).where("off > committed").select(*TP, "off")
+
+
+def final_commits(done: DataFrame, state: DataFrame, revoked: DataFrame, max_size: int = MAX_METADATA) -> DataFrame:
+    """topic, part, next_offset, metadata of revoked partitions with at least one safe offset; no runs (R) where nothing is finished beyond the mark."""
+    own = state.join(revoked.select(*TP), TP, "left_semi")
+    marks = high_water_mark(done, own).where("hwm >= 0")
+    beyond = commit_through(done, marks).join(marks, TP).select(*TP, "off", (F.col("hwm") + 1).alias("base"))
+    return marks.select(*TP, (F.col("hwm") + 1).alias("next_offset")).join(encode(beyond, TP, max_size=max_size).select(*TP, "metadata"), TP, "left").withColumn("metadata", F.coalesce("metadata", F.lit(RUNS)))

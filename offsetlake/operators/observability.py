@@ -78,6 +78,19 @@ def latency_histogram(events: DataFrame, seconds: str, keys: list[str] | None =
     return wide.select(*keys, F.explode(rows).alias("x")).select(*keys, "x.le", "x.cumulative")
 
 
+def histogram_samples(events: DataFrame, seconds: str, name: str, keys: list[str] | None = None, buckets: tuple[float, ...] = BUCKETS) -> DataFrame:
+    """keys, metric, le, value: the buckets (le as text, +Inf last), the sum and the count of a histogram, from one aggregate."""
+    keys = TP if keys is None else keys
+    sums = [F.sum(F.when(F.col(seconds) <= b, 1).otherwise(0)).alias(f"b{i}") for i, b in enumerate(buckets)]
+    wide = events.groupBy(*keys).agg(*sums, F.count(seconds).alias("n"), F.coalesce(F.sum(seconds), F.lit(0.0)).alias("total"))
+
+    def row(kind: str, le: str, value: Column) -> Column:
+        return F.struct(F.lit(f"{name}_{kind}").alias("metric"), F.lit(le).alias("le"), value.cast("double").alias("value"))
+
+    rows = [row("bucket", str(float(b)), F.col(f"b{i}")) for i, b in enumerate(buckets)] + [row("bucket", "+Inf", F.col("n")), row("sum", "", F.col("total")), row("count", "", F.col("n"))]
+    return wide.select(*keys, F.explode(F.array(*rows)).alias("x")).select(*keys, "x.*")
+
+
 def histogram_quantile(histogram: DataFrame, q: float, keys: list[str]) -> DataFrame:
     """keys, quantile: linear inside the bucket that holds rank q * count; in the +Inf bucket the largest finite bound."""
     w = Window.partitionBy(*keys).orderBy("le")
@@ -117,6 +130,33 @@ def held_longer(samples: DataFrame, keys: list[str], order: str, flag: str, seco
     return out.where(F.col("lasted") > limit).drop("stretch")
 
 
+def growing(samples: DataFrame, keys: list[str], at_us: str, value: str, minutes: int = 5) -> DataFrame:
+    """Samples at whose time the value has grown for `minutes`: it is higher than the first sample of that span, never fell in it, and the span is full.
+
+    at_us holds whole microseconds. Samples of equal time count together in a span; which of them comes first does not matter, as a fall is told by times:
+    the least value of a time below the greatest of the time before.
+    """
+    span = minutes * 60_000_000
+    once = samples.groupBy(*keys, at_us).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    order = Window.partitionBy(*keys).orderBy(at_us)
+    marked = once.withColumn("fell", (F.col("low") < F.lag("high").over(order)).cast("int")).withColumn("begun", F.min(at_us).over(Window.partitionBy(*keys)))
+    # a fall into the span's first sample lies before it
+    back = order.rangeBetween(-span, Window.currentRow)
+    out = marked.withColumns({"first": F.first("low").over(back), "falls": F.sum("fell").over(back) - F.first(F.coalesce("fell", F.lit(0))).over(back)})
+    return out.where((F.col(at_us) - F.col("begun") >= span) & (F.coalesce("falls", F.lit(0)) == 0) & (F.col("high") > F.col("first"))).select(*keys, at_us, F.col("high").alias("value"))
+
+
+def failure_share(completions: DataFrame, ts: str, keys: list[str], window: str = "1 minute", limit: float = 0.01) -> DataFrame:
+    """keys, start, failures, completions, alert: windows' completions by status, alert where more than `limit` of them failed."""
+    per = completions.groupBy(F.window(ts, window), *keys).agg(F.count_if(F.col("status") == "failure").alias("failures"), F.count("*").alias("completions"))
+    return per.select(*keys, F.col("window.start").alias("start"), "failures", "completions", (F.col("failures") / F.col("completions") > limit).alias("alert"))
+
+
+def over_labels(samples: DataFrame, label: str, pattern: str, value: str) -> DataFrame:
+    """One row: largest and summed value of the samples whose label matches the whole pattern."""
+    return samples.where(F.col(label).rlike(rf"\A(?:{pattern})\z")).agg(F.max(value).alias("largest"), F.sum(value).alias("total"))
+
+
 def flush_metrics(flushes: DataFrame) -> DataFrame:
     """reason, flushes, items, average: of micro-batches by what flushed them."""
     return flushes.groupBy("reason").agg(F.count("*").alias("flushes"), F.sum("items").alias("items"), (F.sum("items") / F.count("*")).alias("average"))

@@ -901,3 +901,58 @@ def baseline_commits(spark, d):
     """What a sequential consumer works on, and where it commits."""
     v = F.when(F.col("event_id") % 11 == 0, F.lit(None)).when(F.col("event_id") % 13 == 0, F.unhex(F.lit("FF41"))).otherwise(F.coalesce("v", F.lit("")).cast("binary"))
     return B.baseline_commits(message_log(spark, d).withColumn("payload", v), ["part"], "off", "payload")
+
+
+_FINAL = "CASE WHEN length(rle) + 1 > 4000 AND (length(bits) + 1 > 4000 OR bits = '') THEN 'O' WHEN length(bits) + 1 > 4000 OR bits = '' THEN 'R' || rle WHEN length(rle) + 1 > 4000 THEN 'B' || bits WHEN length(rle) <= length(bits) THEN 'R' || rle ELSE 'B' || bits END AS metadata"
+
+
+@query("WITH " + STATE + _LEFT + _RLE + _BITS + ", coded AS (SELECT topic, part, " + _FINAL + " FROM rle JOIN bits USING (topic, part, base)) SELECT topic, part, hwm + 1 AS next_offset, coalesce(metadata, 'R') AS metadata FROM mark LEFT JOIN coded USING (topic, part) WHERE hwm >= 0 AND part % 2 = 1")
+def final_commits(spark, d):
+    """The last commits of revoked partitions, with the metadata of what is finished beyond them."""
+    log = message_log(spark, d)
+    state = _state(log)
+    return C.final_commits(finished(log), state, state.where("part % 2 = 1"))
+
+
+@query("WITH " + STATE + _LEFT + _RLE + _BITS + ", coded AS (SELECT topic, part, " + _FINAL + " FROM rle JOIN bits USING (topic, part, base)) SELECT topic, part, off FROM left_over JOIN coded USING (topic, part) WHERE metadata <> 'O' AND part % 4 < 2 AND off > base + 5")
+def restored_offsets(spark, d):
+    """Finished offsets from the commit's metadata, else from the partition's, else none."""
+    coded, p = C.encode(_left_over(spark, d), O.TP), F.col("part") % 4
+    return C.restore(coded.select(*O.TP, (F.col("base") + 5).alias("committed"), F.when(p == 0, F.col("metadata")).when(p == 1, "").when(p == 2, "Rx-1").alias("metadata"), F.when(p == 1, F.col("metadata")).alias("partition_metadata")))
+
+
+@query("WITH " + COMPLETIONS_SQL + f", b AS (SELECT topic, part, 'latency_seconds_bucket' AS metric, CASE WHEN le = 'Infinity' THEN '+Inf' ELSE le::VARCHAR END AS le, count(*) FILTER (WHERE latency_ms / 1000 <= le)::DOUBLE AS value FROM comp, {_LE} GROUP BY ALL) FROM b UNION ALL SELECT topic, part, 'latency_seconds_sum', '', round(sum(latency_ms / 1000), 6) FROM comp GROUP BY ALL UNION ALL SELECT topic, part, 'latency_seconds_count', '', count(*)::DOUBLE FROM comp GROUP BY ALL")
+def histogram_samples(spark, d):
+    """M4: buckets, sum and count."""
+    e = completions(message_log(spark, d)).withColumn("seconds", F.col("latency_ms") / 1000)
+    return M.histogram_samples(e, "seconds", "latency_seconds").withColumn("value", F.round("value", 6))
+
+
+_GROW = "s AS (SELECT user_id % 25 AS consumer, epoch_us(ts) // 60000000 AS minute, event_id, value FROM events), v AS (SELECT consumer, minute * 60000000 AS us, count(*) + max(event_id) // 40 AS lag FROM s GROUP BY ALL)"
+
+
+@query("WITH " + _GROW + ", x AS (SELECT a.consumer, a.us, a.lag, (SELECT list(b.lag ORDER BY b.us) FROM v b WHERE b.consumer = a.consumer AND b.us BETWEEN a.us - 3600000000 AND a.us) AS h, (SELECT min(us) FROM v c WHERE c.consumer = a.consumer) AS begun FROM v a) SELECT consumer, us, lag AS value FROM x WHERE us - begun >= 3600000000 AND h = list_sort(h) AND lag > h[1]")
+def alert_growth(spark, d):
+    """A lag that has grown for an hour (these data are too thin for five minutes)."""
+    e = table(spark, d, "events").select((F.col("user_id") % 25).alias("consumer"), micros("ts").alias("at"), "event_id")
+    v = e.groupBy("consumer", (F.expr("at div 60000000") * 60_000_000).alias("us")).agg((F.count("*") + F.expr("max(event_id) div 40")).alias("lag"))
+    return M.growing(v, ["consumer"], "us", "lag", 60)
+
+
+@query("WITH " + COMPLETIONS_SQL + " SELECT topic, epoch_us(date_trunc('minute', ts)) AS start_us, count(*) FILTER (WHERE status = 'failure') AS failures, count(*) AS completions, count(*) FILTER (WHERE status = 'failure') / count(*) > 0.01 AS alert FROM comp GROUP BY ALL")
+def alert_failures(spark, d):
+    """Minutes in which more than 1 % of the completions failed."""
+    out = M.failure_share(completions(message_log(spark, d)), "ts", ["topic"])
+    return out.select("topic", micros("start").alias("start_us"), "failures", "completions", "alert")
+
+
+@query("SELECT max(event_id) AS largest, sum(event_id)::BIGINT AS total FROM events WHERE event_type IN ('view', 'click')")
+def gauge_totals(spark, d):
+    """Largest and summed gauge over the labels that match a pattern."""
+    return M.over_labels(table(spark, d, "events"), "event_type", "view|click", "event_id")
+
+
+@query("SELECT w AS workload, o AS ordering, s AS strict, a AS adaptive, m AS mode FROM (SELECT unnest(['sleep', 'io']) w), (SELECT unnest(['key_hash', 'partition']) o), (SELECT unnest(['on', 'off']) s), (SELECT unnest(['on', 'off']) a), (SELECT unnest(['baseline', 'async', 'process']) m)")
+def full_matrix(spark, d):
+    """A23 with strict and adaptive runs."""
+    return B.benchmark_matrix(spark, ["sleep", "io"], ["key_hash", "partition"], ["baseline", "async", "process"], strict=["on", "off"], adaptive=["on", "off"])

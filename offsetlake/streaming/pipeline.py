@@ -196,3 +196,15 @@ class LogPipeline:
     def failure(self) -> Exception | None:
         """The error that ended the query, if one did."""
         return self.query.exception() if self.query is not None else None
+
+    def reset(self, spark: SparkSession, tries: int = 3) -> None:
+        """Delete the folder with checkpoint, commits and pending letters, so that the next start begins anew. A running pipeline is an error."""
+        if self.query is not None and self.query.isActive:
+            raise RuntimeError("the pipeline is running")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for turn in range(tries):
+            if not fs.exists(path) or fs.delete(path, True):
+                return
+            time.sleep(0.2 * 2**turn)
+        raise OSError(f"could not delete {self.folder}")

@@ -59,6 +59,8 @@ def test_stream_to_commits_and_dead_letters(spark, tmp_path):
     assert p.drain(120) and p.stop(deadline_s=60) and p.failure() is None
     assert {r.part: (r.next_offset, r.runs) for r in p.commits(spark).collect()} == {0: (30, []), 1: (30, [])}
     assert sorted(sent) == [(part, off, f"bad {off}", "1") for part in (0, 1) for off in (3, 12)]
+    p.reset(spark)
+    assert p.commits(spark).isEmpty() and not (tmp_path / "p").exists()
 
 
 def test_an_older_generation_does_not_commit(spark, tmp_path):

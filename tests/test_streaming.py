@@ -1,8 +1,10 @@
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from offsetlake.__main__ import main
 from offsetlake.options import ExecutionOptions, LogOptions
 from offsetlake.sources.artifacts import read_results, write_results
 from offsetlake.sources.log_source import OffsetLogSource
@@ -87,6 +89,18 @@ def test_artifacts(spark, tmp_path):
     assert sorted((r.run, r.tps) for r in back.collect()) == [("a", 5.0), ("b", 6.0)]
 
 
+def test_report_of_an_artifact(spark, tmp_path, capsys):
+    rows = [("a", "baseline", "io", "key_hash", 0, 10, 5.0, 1.0, 0, 0, [(1.0, 2, 1)]), ("b", "async", "io", "key_hash", 1, 20, 15.0, 2.0, 0, 0, None)]
+    results = spark.createDataFrame(rows, "run string, mode string, workload string, ordering string, seq long, messages long, tps double, p99_ms double, final_lag long, final_gaps long, observations array<struct<elapsed_sec: double, lag: long, gap_count: long>>")
+    write_results(results, str(tmp_path / "r"), {})
+    whole = json.loads("".join(p.read_text() for p in (tmp_path / "r").glob("part-*")))
+    assert [(x["mode"], x["ratio"]) for x in whole["performance_improvements"]] == [("async", 3.0)] and [x["run"] for x in whole["metrics_observations"]] == ["a"]
+    assert main(["report", str(tmp_path / "r")]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0].startswith("run | mode     | workload") and lines[2].startswith("a   | baseline | io") and lines[-1].startswith("io       | key_hash | async | 5.0")
+    assert main(["queries"]) == 0 and "gap_ranges: " in capsys.readouterr().out
+
+
 def test_options():
     o = LogOptions("t", "a:1, b:2", start="none", security={"sasl_password": "x", "security_protocol": "SSL"})
     assert o.bootstrap == "a:1,b:2" and o.source({0: 7, 1: 0})["kafka.sasl.password"] == "x" and "kafka.sasl.password" not in o.public()
