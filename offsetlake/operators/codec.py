@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offsetlake.operators.offsets import TP, commit_through, high_water_mark
+from offsetlake.operators.offsets import TP, beyond_marks, high_water_mark
+from offsetlake.operators.ranges import previous, ranked
 
 #: Longest metadata, the sentinel of a set that does not fit, and the marks of the two codes.
 MAX_METADATA = 4000
@@ -13,19 +14,23 @@ OVERFLOW, RUNS, BITS = "O", "R", "B"
 MAX_DECODED = 1 << 20  # offsets that a decoded text may stand for: a short text can name runs of any width
 
 
-def run_lengths(offsets: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, rle: sorted runs as a or a-b, joined by commas."""
-    island = F.col("off") - F.row_number().over(Window.partitionBy(*keys).orderBy("off"))
-    runs = offsets.select(*keys, "off").distinct().withColumn("island", island).groupBy(*keys, "island").agg(F.min("off").alias("a"), F.max("off").alias("b"))
-    text = F.transform(F.array_sort(F.collect_list(F.struct("a", "b"))), lambda x: F.when(x.a == x.b, x.a.cast("string")).otherwise(F.concat_ws("-", x.a, x.b)))
-    return runs.groupBy(*keys).agg(F.array_join(text, ",").alias("rle"))
+def run_lengths(offsets: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """keys, rle: sorted runs as a or a-b, joined by commas. The runs of a key are one row's; `most` keeps the first ones only."""
+    starts = previous(offsets.select(*keys, "off").distinct(), keys, "off", "near").where(F.col("near").isNull() | (F.col("off") > F.col("near") + 1))
+    if most is not None:
+        starts = ranked(starts, keys, "off", "place", below=most)
+    runs = starts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("off").alias("a"), "near"))).alias("runs")).join(offsets.groupBy(*keys).agg(F.max("off").alias("top")), keys)
+    # A run ends at the offset before the next run's start, the last one at the largest offset.
+    ends = F.transform("runs", lambda x, i: F.struct(x.a.alias("a"), F.coalesce(F.get(F.col("runs"), i + 1)["near"], F.col("top")).alias("b")))
+    text = F.transform(ends, lambda x: F.when(x.a == x.b, x.a.cast("string")).otherwise(F.concat_ws("-", x.a, x.b)))
+    return runs.select(*keys, F.array_join(text, ",").alias("rle"))
 
 
 def bitset(offsets: DataFrame, keys: list[str], base: str = "base", max_bytes: int = MAX_METADATA) -> DataFrame:
     """keys, base, bits: base:hex, bit i of byte j standing for base + 8j + i; offsets below base are dropped; "" if there are more than max_bytes bytes."""
     place = F.col("off") - F.col(base)
     by_byte = offsets.where(place >= 0).groupBy(*keys, base, F.floor(place / 8).alias("j")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (place % 8).cast("int"))).alias("v"))
-    packed = by_byte.groupBy(*keys, base).agg(F.max("j").alias("top"), F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("m"))
+    packed = by_byte.groupBy(*keys, base).agg(F.max("j").alias("top"), F.map_from_entries(F.collect_list(F.when(F.col("j") < max_bytes, F.struct("j", "v")))).alias("m"))
     digits = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.col("top"), F.lit(max_bytes).cast("long"))), lambda j: F.lower(F.lpad(F.hex(F.coalesce(F.try_element_at("m", j), F.lit(0))), 2, "0")))
     return packed.select(*keys, base, F.when(F.col("top") + 1 <= max_bytes, F.concat(F.col(base).cast("string"), F.lit(":"), F.array_join(digits, ""))).otherwise("").alias("bits"))
 
@@ -38,8 +43,8 @@ def choose(rle: Column, bits: Column, max_size: int = MAX_METADATA) -> Column:
 
 
 def encode(offsets: DataFrame, keys: list[str], base: str = "base", max_size: int = MAX_METADATA) -> DataFrame:
-    """keys, base, metadata of each set."""
-    both = run_lengths(offsets, keys).join(bitset(offsets, keys, base, max_size), keys)
+    """keys, base, metadata of each set. Runs and bytes beyond the budget are not gathered: of more than max_size / 2 runs the first already overflow it."""
+    both = run_lengths(offsets, keys, max_size // 2 + 1).join(bitset(offsets, keys, base, max_size), keys)
     return both.select(*keys, base, choose(F.col("rle"), F.col("bits"), max_size).alias("metadata"))
 
 
@@ -72,5 +77,5 @@ def final_commits(done: DataFrame, state: DataFrame, revoked: DataFrame, max_siz
     """topic, part, next_offset, metadata of revoked partitions with at least one safe offset; no runs (R) where nothing is finished beyond the mark."""
     own = state.join(revoked.select(*TP), TP, "left_semi")
     marks = high_water_mark(done, own).where("hwm >= 0")
-    beyond = commit_through(done, marks).join(marks, TP).select(*TP, "off", (F.col("hwm") + 1).alias("base"))
+    beyond = beyond_marks(done, marks).withColumnRenamed("next_offset", "base")
     return marks.select(*TP, (F.col("hwm") + 1).alias("next_offset")).join(encode(beyond, TP, max_size=max_size).select(*TP, "metadata"), TP, "left").withColumn("metadata", F.coalesce("metadata", F.lit(RUNS)))

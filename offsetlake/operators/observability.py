@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offsetlake.operators.offsets import TP, gaps, true_lag
+from offsetlake.operators.offsets import TP, gaps, progress, true_lag
 from offsetlake.options import LogOptions
 
 #: The default latency buckets (seconds) of the usual metrics client.
@@ -14,9 +14,9 @@ BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0,
 
 def partition_metrics(done: DataFrame, state: DataFrame, queued: DataFrame) -> DataFrame:
     """topic, part, lag, gap_count, blocking, queued."""
-    g = gaps(done, state).groupBy(*TP).agg(F.count("*").alias("gap_count"), F.min("gap_start").alias("blocking"))
     q = queued.groupBy(*TP).agg(F.count("*").alias("queued"))
-    return true_lag(state).join(g, TP, "left").join(q, TP, "left").select(*TP, "lag", F.coalesce("gap_count", F.lit(0)).alias("gap_count"), "blocking", F.coalesce("queued", F.lit(0)).alias("queued"))
+    lag = F.greatest(F.lit(0).cast("long"), F.col("fetched") - F.col("committed")).alias("lag")
+    return progress(done, state).join(q, TP, "left").select(*TP, lag, "gap_count", "blocking", F.coalesce("queued", F.lit(0)).alias("queued"))
 
 
 def snapshot(metrics: DataFrame, paused: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offsetlake.operators.ranges import previous, run_end
+from offsetlake.operators.ranges import previous, ranked, run_end
 
 TP = ["topic", "part"]
 PIECE = 10_000  # offsets of a gap that one array holds at most
@@ -38,10 +38,22 @@ def gaps(done: DataFrame, state: DataFrame) -> DataFrame:
     return previous(ends, TP, "off", "near").withColumn("before", F.coalesce("near", "committed")).where("off > before + 1").select(*TP, (F.col("before") + 1).alias("gap_start"), (F.col("off") - 1).alias("gap_end"))
 
 
+def progress(done: DataFrame, state: DataFrame) -> DataFrame:
+    """topic, part, committed, fetched, hwm, gap_count, blocking: mark and gaps of every partition from one pass over the completed offsets."""
+    opened = done.select(*TP, "off").distinct().join(state.select(*TP, "committed", "fetched"), TP).where("off > committed")
+    seen = previous(opened, TP, "off", "near").withColumn("before", F.coalesce("near", "committed"))
+    broken = F.col("off") > F.col("before") + 1
+    inside = broken & (F.col("before") < F.col("fetched"))
+    found = seen.groupBy(*TP).agg(F.max("off").alias("top"), F.min(F.when(broken, F.col("before"))).alias("end"), F.count_if(inside).alias("holes"), F.min(F.when(inside, F.col("before") + 1)).alias("hole"))
+    out = state.select(*TP, "committed", "fetched").join(found, TP, "left").withColumn("top", F.coalesce("top", "committed"))
+    tail = F.col("top") < F.col("fetched")  # nothing is done between the last completed offset and the last fetched one
+    hwm = F.coalesce("end", "top").cast("long").alias("hwm")
+    return out.select(*TP, "committed", "fetched", hwm, (F.coalesce("holes", F.lit(0)) + tail.cast("long")).alias("gap_count"), F.coalesce("hole", F.when(tail, F.col("top") + 1)).alias("blocking"))
+
+
 def blocking_offsets(done: DataFrame, state: DataFrame) -> DataFrame:
     """topic, part, blocking: the first incomplete offset, or null."""
-    first = gaps(done, state).groupBy(*TP).agg(F.min("gap_start").alias("blocking"))
-    return state.select(*TP).join(first, TP, "left")
+    return progress(done, state).select(*TP, "blocking")
 
 
 def true_lag(state: DataFrame) -> DataFrame:
@@ -62,19 +74,24 @@ def commit_candidates(done: DataFrame, state: DataFrame, flying: DataFrame | Non
     return state.select(*TP, "committed").join(high_water_mark(done, state, flying), TP).where("hwm > committed")
 
 
+def beyond_marks(done: DataFrame, marks: DataFrame) -> DataFrame:
+    """topic, part, off, next_offset: completed offsets beyond the marks (topic, part, hwm), with the offset that follows the mark."""
+    return done.select(*TP, "off").distinct().join(marks.select(*TP, (F.col("hwm") + 1).alias("next_offset")), TP).where("off >= next_offset")
+
+
 def commit_through(done: DataFrame, marks: DataFrame) -> DataFrame:
     """Completed offsets that stay in the set once the marks (topic, part, hwm) are committed."""
-    return done.select(*TP, "off").distinct().join(marks.select(*TP, "hwm"), TP).where("off > hwm").select(*TP, "off")
+    return beyond_marks(done, marks).select(*TP, "off")
 
 
 def commit_payload(done: DataFrame, marks: DataFrame, limit: int | None = 2048) -> DataFrame:
     """topic, part, next_offset and the lowest `limit` completed offsets from there, one a row (off); None for all, as on revocation.
 
-    Every task keeps its `limit` lowest offsets of a partition before they are shuffled (a window group limit), so no partition is one task's.
+    Ranges of offsets that cannot be among the lowest are left out by their counts, so no partition is one task's.
     """
-    kept = commit_through(done, marks).join(marks.select(*TP, (F.col("hwm") + 1).alias("next_offset")), TP)
+    kept = beyond_marks(done, marks)
     if limit is not None:
-        kept = kept.withColumn("rn", F.row_number().over(Window.partitionBy(*TP).orderBy("off"))).where(F.col("rn") <= limit)
+        kept = ranked(kept, TP, "off", "place", below=limit)
     return kept.select(*TP, "next_offset", "off")
 
 

@@ -17,18 +17,23 @@ def range_of(order: Column, size: int = RANGE) -> Column:
     return F.floor(order / F.lit(size)).cast("long")
 
 
-def ranked(rows: DataFrame, keys: list[str], order: str, name: str, size: int = RANGE) -> DataFrame:
-    """Adds `name`: the place of a row among those of its keys by `order` (an integer column, distinct within the keys), from 0."""
+def ranked(rows: DataFrame, keys: list[str], order: str, name: str, size: int = RANGE, below: int | None = None) -> DataFrame:
+    """Adds `name`: the place of a row among those of its keys by `order` (an integer column, distinct within the keys), from 0.
+
+    below keeps the rows with a place below it; ranges that cannot have one are left out before the rows are sorted.
+    """
     cut = rows.withColumn("range_", range_of(F.col(order), size))
     per = cut.groupBy(*keys, "range_").agg(F.count("*").alias("n_"))
     before = F.coalesce(F.sum("n_").over(Window.partitionBy(*keys).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = per.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("range_").alias("at_"), before.alias("before_"))
+    if below is not None:
+        per = per.where(F.col("before_") < below)
     same = F.col("range_") == F.col("at_")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
     inside = F.row_number().over(Window.partitionBy(*keys, "range_").orderBy(order)) - 1
-    out = cut.withColumn("inside_", inside).join(per, same)
-    return out.withColumn(name, (F.col("before_") + F.col("inside_")).cast("long")).select(*rows.columns, name)
+    out = cut.join(per, same).withColumn("inside_", inside).withColumn(name, (F.col("before_") + F.col("inside_")).cast("long")).select(*rows.columns, name)
+    return out if below is None else out.where(F.col(name) < below)
 
 
 def previous(rows: DataFrame, keys: list[str], order: str, name: str, size: int = RANGE) -> DataFrame:

@@ -15,7 +15,7 @@ from offsetlake.operators import flow as L
 from offsetlake.operators import observability as M
 from offsetlake.operators import offsets as O
 from offsetlake.operators import ordering as R
-from offsetlake.plans.fixtures import COMPLETIONS_SQL, LOG_SQL, RESULTS_SQL, RUNS_SQL, assignments, completions, fetched, finished, message_log, micros, results, runs, table
+from offsetlake.plans.fixtures import COMPLETIONS_SQL, LOG_SQL, RESULTS_SQL, RUNS_SQL, assignments, completions, fetched, finished, last_committed, message_log, micros, results, runs, table
 from offsetlake.options import LogOptions
 from offsetlake.sources.producer import messages
 from offsetlake.session import ship
@@ -35,7 +35,7 @@ def query(sql: str | None = None):
 
 
 def _state(log: DataFrame) -> DataFrame:
-    return assignments(log).join(fetched(log), O.TP)
+    return fetched(log).withColumn("committed", last_committed())
 
 
 def _flying(log: DataFrame) -> DataFrame:
@@ -55,10 +55,8 @@ SELECT m.topic, m.part, f.fetched, m.hwm, greatest(0, f.fetched - m.hwm) AS true
 def offset_progress(spark, d):
     """Mark, lag, gaps and blocking offset of each partition."""
     log = message_log(spark, d)
-    done, state = finished(log), _state(log)
-    g = O.gaps(done, state).groupBy(*O.TP).agg(F.count("*").alias("n"), F.min("gap_start").alias("blocking"))
-    out = state.join(O.high_water_mark(done, state), O.TP).join(g, O.TP, "left")
-    return out.select(*O.TP, "fetched", "hwm", F.greatest(F.lit(0).cast("long"), F.col("fetched") - F.col("hwm")).alias("true_lag"), F.coalesce("n", F.lit(0)).cast("long").alias("gap_count"), "blocking")
+    out = O.progress(finished(log), _state(log))
+    return out.select(*O.TP, "fetched", "hwm", F.greatest(F.lit(0).cast("long"), F.col("fetched") - F.col("hwm")).alias("true_lag"), "gap_count", "blocking")
 
 
 @query("WITH " + STATE + " SELECT * FROM gap")
@@ -162,7 +160,7 @@ def _left_over(spark, d) -> DataFrame:
     log = message_log(spark, d)
     done, state = finished(log), _state(log)
     marks = O.high_water_mark(done, state)
-    return O.commit_through(done, marks).join(marks, O.TP).select(*O.TP, "off", (F.col("hwm") + 1).alias("base"))
+    return O.beyond_marks(done, marks).withColumnRenamed("next_offset", "base")
 
 
 @query("WITH " + STATE + _LEFT + _RLE + " SELECT topic, part, rle FROM rle")

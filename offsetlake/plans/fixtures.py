@@ -43,9 +43,13 @@ def finished(log: DataFrame) -> DataFrame:
     return log.where((F.col("event_id") % 50 != 7) & ~((F.col("event_type") == "error") & (F.col("event_id") % 200 == 3)))
 
 
+def last_committed() -> Column:
+    return (F.col("part") * 3 - 1).cast("long")
+
+
 def assignments(log: DataFrame) -> DataFrame:
     """topic, part, committed: the last committed offset at assignment."""
-    return log.select("topic", "part").distinct().withColumn("committed", (F.col("part") * 3 - 1).cast("long"))
+    return log.select("topic", "part").distinct().withColumn("committed", last_committed())
 
 
 def fetched(log: DataFrame) -> DataFrame:

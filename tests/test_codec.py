@@ -25,6 +25,16 @@ def test_choice(spark):
     assert C.encode(table(spark, range(500)), ["k"], max_size=5).first().metadata == "O"
 
 
+def test_budget(spark):
+    """Only what the budget can hold is gathered; texts of just the budget's length still fit."""
+    assert C.encode(table(spark, [0, 2, 4]), ["k"], max_size=6).first().metadata == "R0,2,4"
+    assert C.encode(table(spark, [0, 2, 4, 40]), ["k"], max_size=7).first().metadata == "O"
+    assert C.encode(table(spark, range(0, 4000, 2)), ["k"], max_size=300).first().metadata == "O"
+    assert C.encode(table(spark, [0, 1, 2, 3, 900]), ["k"], max_size=8).first().metadata == "R0-3,900"
+    assert C.bitset(table(spark, [0, 9, 900]), ["k"], max_bytes=2).first().bits == ""
+    assert C.run_lengths(table(spark, range(0, 100, 2)), ["k"]).first().rle == ",".join(str(o) for o in range(0, 100, 2))
+
+
 def test_decode(spark):
     rows = ["R0-3", "R0,5,10", "B10:2b", "O", "X10:110101", "Rbad-range", "Bnotint:zz", "", "R", None]
     got = spark.createDataFrame([(i, m) for i, m in enumerate(rows)], "i int, m string").select("i", C.decode(F.col("m")).alias("d")).orderBy("i").collect()

@@ -48,6 +48,16 @@ def test_random_against_a_fold(spark):
                 run.append((o, o))
         assert gaps(spark, committed, fetched, done) == run
         assert O.high_water_mark(*frames(spark, committed, fetched, done)).first().hwm == hwm
+        one = O.progress(*frames(spark, committed, fetched, done)).first()
+        assert (one.hwm, one.gap_count, one.blocking) == (hwm, len(run), run[0][0] if run else None)
+
+
+def test_payload_keeps_the_lowest(spark):
+    done, state = frames(spark, -1, 99, {0, *range(5, 90, 3)})
+    got = O.commit_payload(done, O.high_water_mark(done, state), 7).orderBy("off").collect()
+    assert [(r.next_offset, r.off) for r in got] == [(1, o) for o in range(5, 26, 3)]
+    plan = O.commit_payload(done, O.high_water_mark(done, state))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("range_" in line for line in plan.splitlines() if "row_number() windowspecdefinition" in line and "off#" in line)
 
 
 def test_blocking_ages(spark):
@@ -83,7 +93,10 @@ def test_ranges_against_folds(spark, monkeypatch):
         assert flying == sorted(set(range(committed + 1, committed + 36)) ^ done)
         rows = [(rng.choice(["a", "b", None]), o) for o in rng.sample(range(200), 60)]
         ranked = ranges.ranked(spark.createDataFrame(rows, "k string, off long"), ["k"], "off", "rank", size).collect()
-        assert sorted((str(r.k), r.off, r["rank"]) for r in ranked) == sorted((str(k), o, sum(p < o for j, p in rows if j == k)) for k, o in rows)
+        places = sorted((str(k), o, sum(p < o for j, p in rows if j == k)) for k, o in rows)
+        assert sorted((str(r.k), r.off, r["rank"]) for r in ranked) == places
+        lowest = ranges.ranked(spark.createDataFrame(rows, "k string, off long"), ["k"], "off", "rank", size, below=9).collect()
+        assert sorted((str(r.k), r.off, r["rank"]) for r in lowest) == [p for p in places if p[2] < 9]
     plan = O.high_water_mark(frame, state)._jdf.queryExecution().optimizedPlan().toString() + O.gaps(frame, state)._jdf.queryExecution().optimizedPlan().toString()
     assert "range_" in plan
 
