@@ -27,7 +27,8 @@ def test_choice(spark):
 
 def test_budget(spark):
     """Only what the budget can hold is gathered; texts of just the budget's length still fit."""
-    assert C.encode(table(spark, [0, 2, 4]), ["k"], max_size=6).first().metadata == "R0,2,4"
+    assert C.encode(table(spark, [0, 2, 4]), ["k"], max_size=6).first().metadata == "B0:15"
+    assert [C.encode(table(spark, [0, 200, 400]), ["k"], max_size=n).first().metadata for n in (10, 9)] == ["R0,200,400", "O"]
     assert C.encode(table(spark, [0, 2, 4, 40]), ["k"], max_size=7).first().metadata == "O"
     assert C.encode(table(spark, range(0, 4000, 2)), ["k"], max_size=300).first().metadata == "O"
     assert C.encode(table(spark, [0, 1, 2, 3, 900]), ["k"], max_size=8).first().metadata == "R0-3,900"
