@@ -149,10 +149,13 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], tokens_col: str, pos
 
     budget is a number of tokens; None asks for the expected tokens of the domains with a positive weight, in the mixture's proportion that needs no
     domain above its own total. Minimises the sum over domains of (total - target)^2 / expected tokens, plus eps times the token-weighted
-    sum of (rate - 1)^2, by Newton steps on the dual, which has one unknown a domain. eps falls by tens until the totals are within `tolerance`
-    of the targets, or to `least`: a projected gradient step in the metric of token counts then changes no rate by more than eps * |rate - 1|, so
-    the least-squares sum is stationary. Targets that no rates reach are logged; totals and targets are in the result. Each pass sums up one
-    row of domain totals over the distributed table; only those reach the driver.
+    sum of (rate - 1)^2, by projected gradient steps in their lazy form: the unprojected rates 1 + posteriors . slopes move against the gradient,
+    and the rates are what is left of them at 0 or above. The gradient in the slopes is scaled by the inverse of the live documents'
+    Gram matrix (those with a positive rate), with a search along the step; on the dual this is a Newton step. Steps without that scaling reach the same point in far
+    more passes. eps falls by tens until the totals are within `tolerance` of the targets, or to `least`: an unscaled projected gradient step
+    in the metric of token counts then changes no rate by more than eps * |rate - 1|, so the least-squares sum is stationary. Targets that no
+    rates reach are logged; totals and targets are in the result. Each pass sums up one row of domain totals over the distributed table; only
+    those reach the driver.
     """
     k = len(DOMAINS)
     n, p = F.col(tokens_col).cast("double"), F.col(posteriors_col)
