@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offsetlake.operators.offsets import TP, beyond_marks, high_water_mark
-from offsetlake.operators.ranges import previous, ranked
+from offsetlake.operators.ranges import range_of
 
 #: Longest metadata, the sentinel of a set that does not fit, and the marks of the two codes.
 MAX_METADATA = 4000
@@ -15,11 +15,22 @@ MAX_DECODED = 1 << 20  # offsets that a decoded text may stand for: a short text
 
 
 def run_lengths(offsets: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
-    """keys, rle: sorted runs as a or a-b, joined by commas. The runs of a key are one row's; `most` keeps the first ones only."""
-    starts = previous(offsets.select(*keys, "off").distinct(), keys, "off", "near").where(F.col("near").isNull() | (F.col("off") > F.col("near") + 1))
+    """keys, rle: sorted runs as a or a-b, joined by commas; `most` leaves out what follows that many runs.
+
+    Runs are found inside ranges of offsets; a range's first run goes on with the range before where there is no hole between them.
+    """
+    inside, along = Window.partitionBy(*keys, "range_").orderBy("off"), Window.partitionBy(*keys).orderBy("range_")
+    seen = offsets.select(*keys, "off").distinct().withColumn("range_", range_of(F.col("off"))).withColumn("near", F.lag("off").over(inside))
+    opens = F.col("near").isNull() | (F.col("off") > F.col("near") + 1)
+    per = seen.groupBy(*keys, "range_").agg(F.min("off").alias("first"), F.max("off").alias("last"), F.array_sort(F.collect_list(F.when(opens, F.struct(F.col("off").alias("a"), "near")))).alias("runs"))
+    rest = F.slice("runs", 2, F.size("runs"))
+    head = F.array(F.struct(F.col("first").alias("a"), F.col("prior").alias("near")))
+    per = per.withColumn("prior", F.lag("last").over(along)).withColumn("runs", F.when(F.col("first") == F.col("prior") + 1, rest).otherwise(F.concat(head, rest)))
     if most is not None:
-        starts = ranked(starts, keys, "off", "place", below=most)
-    runs = starts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("off").alias("a"), "near"))).alias("runs")).join(offsets.groupBy(*keys).agg(F.max("off").alias("top")), keys)
+        before = F.coalesce(F.sum(F.size("runs")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        per = per.withColumn("runs", F.slice("runs", 1, most)).withColumn("before", before).where(F.col("before") < most)
+    parts = F.array_sort(F.collect_list(F.struct("range_", "runs")))
+    runs = per.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda x: x.runs)).alias("runs"), F.max("last").alias("top"))
     # A run ends at the offset before the next run's start, the last one at the largest offset.
     ends = F.transform("runs", lambda x, i: F.struct(x.a.alias("a"), F.coalesce(F.get(F.col("runs"), i + 1)["near"], F.col("top")).alias("b")))
     text = F.transform(ends, lambda x: F.when(x.a == x.b, x.a.cast("string")).otherwise(F.concat_ws("-", x.a, x.b)))

@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from offsetlake.operators import codec as C
+from offsetlake.operators import ranges
 
 
 def table(spark, offsets, base=0):
@@ -36,6 +39,25 @@ def test_budget(spark):
     assert C.run_lengths(table(spark, range(0, 100, 2)), ["k"]).first().rle == ",".join(str(o) for o in range(0, 100, 2))
 
 
+def test_runs_over_ranges(spark, monkeypatch):
+    """Runs that cross ranges of offsets, and ranges without offsets, against a fold."""
+    rng = random.Random(5)
+    monkeypatch.setattr(C, "range_of", lambda order: ranges.range_of(order, 4))
+    for size in (12, 30, 60):
+        offsets = sorted(rng.sample(range(70), size))
+        runs = []
+        for o in offsets:
+            if runs and runs[-1][1] == o - 1:
+                runs[-1][1] = o
+            else:
+                runs.append([o, o])
+        text = ",".join(str(a) if a == b else f"{a}-{b}" for a, b in runs)
+        assert C.run_lengths(table(spark, offsets), ["k"]).first().rle == text
+        assert C.run_lengths(table(spark, offsets), ["k"], len(runs) + 1).first().rle == text
+        short = C.run_lengths(table(spark, offsets), ["k"], 3).first().rle
+        assert short.split(",")[:2] == text.split(",")[:2] and len(short) >= 5
+
+
 def test_decode(spark):
     rows = ["R0-3", "R0,5,10", "B10:2b", "O", "X10:110101", "Rbad-range", "Bnotint:zz", "", "R", None]
     got = spark.createDataFrame([(i, m) for i, m in enumerate(rows)], "i int, m string").select("i", C.decode(F.col("m")).alias("d")).orderBy("i").collect()
