@@ -383,6 +383,49 @@ def test_archives_of_empty_and_equal_pages(spark):
     assert len({r.record_id for r in out}) == 7 and {r.refers_to_id for r in out if r.page_id == 2} <= {r.record_id for r in out if r.page_id == 1}
 
 
+def test_gzip_members_are_read_once(monkeypatch):
+    """The bytes given to decompressors grow with the file, not with its square; members, padding and damage are as gzip has them."""
+    import gzip
+    import zlib
+
+    fed, real = [0], zlib.decompressobj
+
+    class Counted:
+        def __init__(self, *args, **kwargs):
+            self.inner = real(*args, **kwargs)
+
+        def decompress(self, data, *args):
+            fed[0] += len(data)
+            return self.inner.decompress(data, *args)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    rng = random.Random(8)
+    blocks = [rng.randbytes(2000) for _ in range(1000)]
+    warc = b"".join(A.warc_record([("WARC-Type", "resource")], b) for b in blocks)
+    body = b"HTTP/1.0 200 OK\r\n\r\n"
+    arc = A.arc_archive("x.arc", 1, iter([("u", "2001", body + b) for b in blocks]))
+    # a member for each 2,000 bytes, whatever records these cut, as .arc.gz files have many too
+    zipped = b"".join(gzip.compress(arc[k : k + 2000]) for k in range(0, len(arc), 2000))
+    monkeypatch.setattr(zlib, "decompressobj", Counted)
+    assert [b for _, b in A.read_warc(warc)] == blocks
+    assert fed[0] < 10 * len(warc)
+    fed[0] = 0
+    assert [r["body"] for r in A.read_arc(zipped)] == [body + b for b in blocks]
+    assert fed[0] < 10 * len(zipped)
+    monkeypatch.undo()
+    assert list(A.read_warc(b"")) == [] and [b for _, b in A.read_warc(warc + bytes(700))] == blocks
+    big = rng.randbytes(100_000)
+    for cut in (gzip.compress(b""), gzip.compress(big), gzip.compress(big) + bytes(9000) + gzip.compress(b"x" * 10**6), b"".join(gzip.compress(b"y" * k) for k in range(300))):
+        assert A.gunzip(cut) == gzip.decompress(cut)
+    with pytest.raises(EOFError):
+        list(A.read_warc(warc[:-3]))
+    for damaged in (warc + b"more", warc[:-6] + b"\0\0" + warc[-4:], warc[:500] + b"!" + warc[501:]):
+        with pytest.raises((zlib.error, OSError)):
+            list(A.read_warc(damaged))
+
+
 def test_fit_in_task(spark):
     rows = spark.createDataFrame([(k % 7, f"t{k}") for k in range(50)], "k int, t string").repartition(6)
     fitted = fit_in_task(rows, ["k", "t"], lambda table: (table["k"].to_pylist(), table["t"].to_pylist()))
