@@ -77,7 +77,8 @@ def cache_survivors(entries: DataFrame, budget: int, order: str = "seq", scope:
     per = fit.groupBy(*keys, "range_").agg(F.sum("size").alias("n_"))
     after = F.coalesce(F.sum("n_").over(Window.partitionBy(*keys).orderBy(F.col("range_").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = per.withColumn("after_", after).where(F.col("after_") <= budget).drop("n_")
-    near = F.sum("size").over(Window.partitionBy(*keys, "range_").orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # Summed from the newest on: a frame that ends with the partition would be summed anew for every row.
+    near = F.sum("size").over(Window.partitionBy(*keys, "range_").orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return fit.join(per, [*keys, "range_"]).withColumn("behind_", near + F.col("after_")).where(F.col("behind_") <= budget).select(*entries.columns)
 
 

@@ -1,4 +1,7 @@
 import random
+import time
+
+from pyspark.sql import functions as F
 
 from offsetlake.operators import benchmarks as B
 from offsetlake.operators import failures as D
@@ -65,6 +68,21 @@ def test_cache_against_a_queue(spark):
     assert {r.seq for r in got.collect() if r["size"]} == {i for i, s in cache if s}
 
 
+def test_cache_takes_time_linear_in_a_range(spark):
+    """A range's rows are summed once: with a sum that starts anew at every row, 60,000 rows of one range are 1.8 billion steps."""
+    sizes = [i * 7 % 31 for i in range(60_000)]
+    want, total = set(), 0
+    for i in reversed(range(len(sizes))):
+        total += sizes[i]
+        if total > 500_000:
+            break
+        want.add(i)
+    entries = spark.range(len(sizes)).select(F.lit("t").alias("topic"), F.lit(0).alias("part"), F.col("id").alias("seq"), (F.col("id") * 7 % 31).alias("size"))
+    start = time.monotonic()
+    assert {r.seq for r in D.cache_survivors(entries, 500_000).select("seq").collect()} == want
+    assert time.monotonic() - start < 30
+
+
 def test_caches_by_scope(spark):
     rows = [("t", i % 2, i, 10) for i in range(20)]
     entries = spark.createDataFrame(rows, "topic string, part int, seq long, size long")
